@@ -7,6 +7,7 @@ from hopwright.llm.divergence import op2_divergence, op2_sql
 from hopwright.llm.hash_tree import op4_hash_tree, op4_sql
 from hopwright.llm.line_dedup import op1_line_dedup, op1_sql
 from hopwright.llm.mixing import op8_poisson_mix, op8_sql
+from hopwright.llm.pitman_yor import op5_pitman_yor
 from hopwright.llm.simhash import op6_simhash
 from hopwright.llm.token_prefix import op7_token_counts
 from hopwright.llm.warc_zstd import op10_sql, op10_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_divergence": op2_divergence,
     "op4_hash_tree": op4_hash_tree,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_poisson_mix": op8_poisson_mix,
