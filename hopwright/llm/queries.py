@@ -9,12 +9,14 @@ from hopwright.llm.line_dedup import op1_line_dedup, op1_sql
 from hopwright.llm.mixing import op8_poisson_mix, op8_sql
 from hopwright.llm.pitman_yor import op5_pitman_yor
 from hopwright.llm.simhash import op6_simhash
+from hopwright.llm.site_template import op3_site_template
 from hopwright.llm.token_prefix import op7_token_counts
 from hopwright.llm.warc_zstd import op10_sql, op10_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_divergence": op2_divergence,
+    "op3_site_template": op3_site_template,
     "op4_hash_tree": op4_hash_tree,
     "op5_pitman_yor": op5_pitman_yor,
     "op6_simhash": op6_simhash,
