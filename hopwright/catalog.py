@@ -1,6 +1,5 @@
 """Queries of the library's operators over the driver tables, with their SQL."""
 
-from __future__ import annotations
+from hopwright.plans.driver_queries import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict = {}
+__all__ = ["QUERIES", "SQL"]
