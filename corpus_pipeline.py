@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from hopwright.llm import decontaminate as decontamination
 from hopwright.llm import divergence, hash_tree, mixing, simhash
-from hopwright.llm.common import table, written
+from hopwright.llm.common import keep_where, table, written
 
 SHARDS = 8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
-    return divergence.quality(docs).filter("__q_kept").select(*docs.columns)
+    return keep_where(divergence.quality(docs), F.col("__q_kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,3 +52,10 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.filter(condition)`` that stays where it is. A filter on a long chain of computed columns would else be pushed below all
+    of them, which writes each column's expression into the next and makes a predicate of exponential size."""
+    marked = df.withColumn("__here", F.spark_partition_id())
+    return marked.filter(condition & (F.col("__here") >= 0)).drop("__here")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import ascii_lower, table, words_of, written
+from hopwright.llm.common import ascii_lower, keep_where, table, words_of, written
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, found: DataFrame, key: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    marks = contamination(docs, prefixes(docs, items, text), key, text).filter("contaminated").select(F.col(key).alias("__k"), F.col("__text").alias("__t")).distinct()
+    marks = keep_where(contamination(docs, prefixes(docs, items, text), key, text), F.col("contaminated")).select(F.col(key).alias("__k"), F.col("__text").alias("__t")).distinct()
     return docs.join(marks, docs[key].eqNullSafe(F.col("__k")) & (F.xxhash64(docs[text]) == F.col("__t")), "left_anti")
 
 
