@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hopwright.functions import draws as D
 from hopwright.functions import spans as S
-from hopwright.operators import feed, graphs, resolve, scoring, sequences, series
+from hopwright.operators import feed, graphs, latents, resolve, scoring, sequences, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -445,3 +445,53 @@ def changed_edges(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("m"), F.col("c_nationkey").alias("n"), "c_custkey", "c_acctbal")
     side = lambda k: c.filter(F.col("c_custkey") % 2 == k).groupBy("m", "n").agg(F.avg("c_acctbal").alias("v"))
     return graphs.changed_edges(side(0), side(1), ["m", "n"], "v", 5000.0).select("m", "n", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "flips")
+
+
+_TOKENS = "WITH t AS (SELECT DISTINCT n_nationkey % 7 AS op, (n_nationkey % 7) || ':' || (n_regionkey) AS token FROM nation), s AS (SELECT DISTINCT least(a, b) AS op_a, greatest(a, b) AS op_b FROM (SELECT s_nationkey % 7 AS a, (s_suppkey % 7)::INTEGER AS b FROM supplier) WHERE a <> b)"
+
+
+@query(f"{_TOKENS}, o AS (SELECT x.token AS src, y.token AS dst FROM s JOIN t x ON x.op = op_a JOIN t y ON y.op = op_b) SELECT src, dst FROM o UNION SELECT dst, src FROM o")
+def token_universe(spark, sf_dir):
+    op = F.col("n_nationkey") % 7
+    tokens = table(spark, sf_dir, "nation").select(op.alias("op"), F.concat_ws(":", op.cast("string"), F.col("n_regionkey").cast("string")).alias("token")).distinct()
+    pairs = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 7).alias("a"), (F.col("s_suppkey") % 7).cast("int").alias("b"))
+    return graphs.token_universe(tokens, scoring.undirected(pairs, "a", "b").select(F.col("a").alias("op_a"), F.col("b").alias("op_b")))
+
+
+@query("WITH RECURSIVE l AS (SELECT user_id AS row, event_id AS id, CASE WHEN n % 4 <> 0 THEN up END AS parent FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS up, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)), d AS (SELECT row, id, 0 AS depth FROM l WHERE parent IS NULL UNION ALL SELECT l.row, l.id, d.depth + 1 FROM l JOIN d ON l.row = d.row AND l.parent = d.id) SELECT row, id, depth FROM d")
+def link_depths(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("row"), F.col("event_id").alias("id"), F.lag("event_id").over(w).alias("up"), F.row_number().over(w).alias("n"))
+    return sequences.depths(e.select("row", "id", F.when(F.col("n") % 4 != 0, F.col("up")).alias("parent")))
+
+
+@query("WITH t AS (SELECT DISTINCT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey <> s_suppkey % 25), p AS (SELECT DISTINCT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey <> s_suppkey % 25), a AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, sum(DISTINCT CASE WHEN src < dst THEN 1 ELSE 2 END) AS s FROM t GROUP BY ALL), b AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, sum(DISTINCT CASE WHEN src < dst THEN 1 ELSE 2 END) AS s FROM p GROUP BY ALL) SELECT count(*) FILTER (a.s IS DISTINCT FROM b.s) AS shd FROM a FULL JOIN b USING (x, y)")
+def mixed_shd(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 25).cast("int").alias("dst"), "s_suppkey").filter("src <> dst")
+    none = spark.createDataFrame([], "a int, b int")
+    state = lambda k: scoring.mixed_states(s.filter(F.col("s_suppkey") % k == 0), none)
+    return scoring.mixed_distance(state(2), state(3))
+
+
+@query("SELECT o_custkey, o_orderstatus, arg_max(coalesce(o_totalprice, 1), o_orderkey) AS score FROM orders GROUP BY ALL")
+def prediction_keep_last(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("score", F.col("o_totalprice"))
+    return scoring.keep_last(o, ["o_custkey", "o_orderstatus"], "o_orderkey")
+
+
+@query("SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_returnflag)) AS l_returnflag FROM lineitem GROUP BY l_orderkey")
+def last_attempt(spark, sf_dir):
+    return feed.last_by(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) FILTER (within) / count(*), 6) AS share FROM (SELECT event_type, abs(value - 50) <= greatest(0.01, 0.1 * 50) AS within FROM events) GROUP BY 1")
+def tolerance_share(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ok", S.within_tolerance(F.col("value"), F.lit(50.0)))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("ok") / F.count(F.lit(1)), 6).alias("share"))
+
+
+@query(None)
+def latent_trajectories(spark, sf_dir):
+    """A thousand ticks of the hidden state of one service per nation, two endpoints each."""
+    services = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("service"), F.array(2 * F.col("n_nationkey"), 2 * F.col("n_nationkey") + 1).alias("endpoints"))
+    return latents.trajectories(spark, services, 0, 1000, [0] * 400 + [2] * 300 + [1] * 300, 7)
