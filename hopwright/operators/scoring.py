@@ -27,28 +27,32 @@ def auroc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     task holds all rows.
     """
     by = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth)).alias("pos"))
-    by = running(by, "s", "n", "below")
+    by = running(by, [F.asc("s")], {"n": "below"})
     ranks = by.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return ranks.select(F.try_divide(F.col("r") - p * (p + 1) / 2, p * q).alias("auroc"))
 
 
-def running(df: DataFrame, order: str, value: str, out: str, parts: int = 64) -> DataFrame:
-    """``out``: the sum of ``value`` over the rows before, in ``order``; ranges of it are summed on their own, then shifted."""
-    ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    # The ranges are fixed by writing them down before they are summed twice.
-    ranged = ranged.persist()
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(starts), "__part").withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("__part", "__start")
+def running(df: DataFrame, order: list[Column], sums: dict[str, str], parts: int = 64) -> DataFrame:
+    """For each column of ``sums`` the total over the rows before, in ``order``, under the name it gives.
+
+    Rows are dealt by ranges of the order; a range is summed on its own and shifted by the totals of the ranges before it, so no
+    task holds all rows. The dealt rows are cached, so both passes see the same ranges.
+    """
+    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    totals = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__{v}") for v in sums))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__part", *(F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__start_{v}") for v in sums))
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), "__part")
+    return out.withColumns({name: F.col(f"__start_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v, name in sums.items()}).drop("__part", *(f"__start_{v}" for v in sums))
 
 
 def average_precision(scored: DataFrame, truth: str, score: str, position: str) -> DataFrame:
     """Mean precision at the positives in descending order of score, ties in order of position; null without positives."""
-    w = Window.orderBy(F.desc(score), F.asc(position))
-    ranked = scored.select(F.col(truth).cast("int").alias("y"), F.row_number().over(w).alias("k"), F.sum(F.col(truth).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
-    return ranked.agg(F.try_divide(F.sum(F.col("tp") / F.col("k") * F.col("y")), F.sum("y").cast("double")).alias("average_precision"))
+    rows = scored.select(F.col(truth).cast("int").alias("y"), F.lit(1).alias("one"), F.col(score).alias("s"), F.col(position).alias("at"))
+    ranked = running(rows, [F.desc("s"), F.asc("at")], {"y": "hits", "one": "before"})
+    return ranked.agg(F.try_divide(F.sum((F.col("hits") + F.col("y")) / (F.col("before") + 1) * F.col("y")), F.sum("y").cast("double")).alias("average_precision"))
 
 
 def top_k_distance(scored: DataFrame, truth: str, score: str, position: str) -> DataFrame:
