@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = simhash.near_duplicates(docs)
     keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")).distinct()
     stay = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
-    return stay.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return stay.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
