@@ -86,7 +86,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     counts = words.groupBy("__r_lang", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = words.groupBy("__r_lang").agg(F.count(F.lit(1)).alias("all"))
     order = Window.partitionBy("__r_lang").orderBy(F.desc("n"), "word")
-    top = counts.filter(F.col("word").rlike(r"\p{L}")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
+    top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
     top = top.groupBy("__r_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     listed = top.join(totals, "__r_lang").select(
         "__r_lang", F.transform("top", lambda t: F.xxhash64(t["word"])).alias("__r_words"), F.transform("top", lambda t: t["n"] / F.col("all")).alias("__r_shares")
@@ -189,7 +189,7 @@ def op2_sql() -> str:
     repeats AS (SELECT row, sum(least(5, coalesce(next - i, 5)))::BIGINT AS n_repeat_words FROM (SELECT *, lead(i) OVER (PARTITION BY row ORDER BY i) AS next FROM twins) GROUP BY row),
     ref AS (SELECT lang, sum(letters) AS l0, sum(upper) AS l1, sum(space) AS l2, sum(digits) AS l3, sum(punctuation) AS l4, sum(other) AS l5, sum(n_chars) AS t FROM e GROUP BY lang),
     totals AS (SELECT lang, count(*) AS total FROM tokens GROUP BY lang),
-    top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (SELECT lang, word, count(*) AS n FROM tokens GROUP BY ALL) WHERE regexp_matches(word, '\p{{L}}')),
+    top AS (SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (SELECT lang, word, count(*) AS n FROM tokens GROUP BY ALL)),
     common AS (SELECT lang, word, rank, n / total AS share FROM top JOIN totals USING (lang) WHERE rank <= {COMMON_WORDS}),
     own AS (SELECT row, lang, word, count(*) AS k FROM tokens JOIN common USING (lang, word) GROUP BY ALL),
     pairs AS (SELECT e.row, coalesce(k, 0) / n_words AS a, share AS b FROM e JOIN common USING (lang) LEFT JOIN own USING (row, lang, word) WHERE n_words >= {MIN_WORDS}),
