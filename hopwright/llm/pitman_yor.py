@@ -17,8 +17,8 @@ and the driver samples its seating with vector operations and broadcasts the ave
 Words that no training text has are read as one unknown type, as the base score does; its base probability is what the speller
 leaves over beyond the known words. So the probabilities of the known words, the end and the unknown type sum to 1.
 
-Texts are written in blocks. A block asks once for each of its distinct words and gets their counts and probabilities back, so
-what is shuffled follows the distinct words of blocks, not the tokens.
+Texts are written in blocks. A block asks once for each of its distinct words and gets their counts and probabilities back
+through a table in the shared folder, so what is shuffled follows the distinct words of blocks, not the tokens or the texts.
 
 Null and empty texts have one token, the end. A null key hashes as '' for the fold. Repeated rows are scored alike and count
 as often as they occur. An empty table gives no rows; without training texts the speller is uniform. Only key and text are
@@ -36,12 +36,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyarrow import fs as pafs
+from pyarrow.dataset import dataset
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from hopwright.llm.common import table, written
+from hopwright.llm.common import fresh_path, table, written
 
 SYMBOLS = 257
 END = 256
@@ -59,6 +60,8 @@ BURN_IN, SAMPLES, MOVES = 2, 3, 2
 ROUNDS = 1
 SEED = 11
 BLOCK_BYTES = 24 << 20
+#: Folders of the answers.
+BUCKETS = 256
 _PIECE = 1 << 17
 
 
@@ -230,9 +233,11 @@ def _fresh(keys: np.ndarray, discount: float, strength: float, where=None, opene
 
 @dataclass
 class Speller:
-    """Averaged probabilities of the symbols: ``rows[context]`` is the line of ``table`` (log10) that a context uses."""
+    """Averaged probabilities of the symbols: ``rows[context]`` is the line of ``table`` (log10) that a context uses, ``column`` the
+    place of a symbol in it. Symbols that no word has are alike in every context and share a column."""
 
     rows: np.ndarray
+    column: np.ndarray
     table: np.ndarray
 
     def logs(self, words: list[bytes]) -> np.ndarray:
@@ -240,7 +245,7 @@ class Speller:
         out = []
         for at in range(0, len(words), _PIECE):
             cell, starts = cells(words[at : at + _PIECE])
-            out.append(np.add.reduceat(self.table[self.rows[cell // SYMBOLS], cell % SYMBOLS].astype(np.float64), starts[:-1]))
+            out.append(np.add.reduceat(self.table[self.rows[cell // SYMBOLS], self.column[cell % SYMBOLS]].astype(np.float64), starts[:-1]))
         return np.concatenate(out) if out else np.empty(0)
 
 
@@ -271,7 +276,11 @@ def fit(keys: np.ndarray, counts: np.ndarray, seed: int = SEED, burn_in: int = B
             sums = p if sums is None else [a + b for a, b in zip(sums, p)]
     rows = (np.arange(RESTAURANTS[top]) % RESTAURANTS[top - 1] + len(seen)).astype(np.int32)
     rows[seen] = np.arange(len(seen))
-    return Speller(rows, np.log10(np.concatenate((sums[1], sums[0])) / samples).astype(np.float32))
+    used = np.unique(levels[0].keys % SYMBOLS)
+    kept = np.append(used, np.setdiff1d(np.arange(SYMBOLS), used)[:1])
+    column = np.full(SYMBOLS, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    return Speller(rows, column, np.log10(np.concatenate([x[:, kept] for x in (sums[1], sums[0])]) / samples).astype(np.float32))
 
 
 def seat_words(counts: np.ndarray, logs: np.ndarray, opened: float, seed: int, samples: int = SAMPLES, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
@@ -390,23 +399,30 @@ def _probabilities(speller, tokens: int, opened: float, unknown: float):
     return run
 
 
-def _scored(tokens: int, distinct: int, key_type: pa.DataType, key: str):
-    """Body of the last pass: a block's texts and the answers for its words to scores."""
+def _scored(tokens: int, distinct: int, answers: str, key: str):
+    """Body of the last pass: texts and the answers for their block's words to scores."""
     floor = math.log10(tokens + distinct + 1)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(right["word"].to_pylist())}
-        c, p = right["c"].to_numpy(), right["p"].to_numpy()
-        known, base = c > 0, np.log10(c + 1.0) - floor
-        rows = []
-        for text in left["text"]:
-            words = (text.as_py() or b"").lower().split()
-            words.append(b"")
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            rows.append((len(words), int(known[at].sum()), tokens, float(base[at].sum()), float(p[at].sum())))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
-        return pa.table([left["key"].cast(key_type), left["held_out"], *columns], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    def load(block: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        system, root = pafs.FileSystem.from_uri(answers if "://" in answers else f"file://{answers}")
+        found = dataset(f"{root}/bucket={block % BUCKETS}", filesystem=system, format="parquet").to_table(["word", "c", "p"], filter=pyarrow.compute.field("block") == block)
+        return {w: i for i, w in enumerate(found["word"].to_pylist())}, found["c"].to_numpy(), found["p"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(3)):
+                if name != block:
+                    place, c, p = load(name)
+                    block, known, base = name, c > 0, np.log10(c + 1.0) - floor
+                words = (text.as_py() or b"").lower().split()
+                words.append(b"")
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                rows.append((len(words), int(known[at].sum()), tokens, float(base[at].sum()), float(p[at].sum())))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -430,18 +446,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     for turn in range(ROUNDS):
         speller = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + turn))
         seated = written(vocabulary.mapInArrow(_seated(speller, opened, seed + turn), "word binary, c bigint, tables double, last bigint"), "seated")
+        speller.destroy()
         opened = float(seated.filter("c > 0").agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0])
     last = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + ROUNDS))
     # All words that no training text has are one type, with what the speller leaves to them.
     spelt = seated.filter("c > 0").select("word").mapInArrow(_spelt(last), "p double").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
     unknown = max(1.0 - spelt, 1e-9)
     chances = seated.mapInArrow(_probabilities(last, tokens, opened, unknown), "word binary, c bigint, p double")
-    answers = asked.select("block", "word").join(chances, "word").groupBy("block", "word").agg(F.first("c").alias("c"), F.first("p").alias("p"))
-    body = _scored(tokens, distinct, to_arrow_type(docs.schema[key].dataType), key)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda left, right: body(left, right),
-        f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
-    )
+    # Answers lie in the shared folder by block, so the texts need not be shuffled to meet them.
+    answers = fresh_path(docs.sparkSession, "answers")
+    met = asked.select("block", "word").distinct().join(chances, "word").withColumn("bucket", F.col("block") % BUCKETS)
+    met.repartition("bucket", "block").sortWithinPartitions("bucket", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(answers)
+    last.destroy()
+    body = _scored(tokens, distinct, answers, key)
+    return blocks.mapInArrow(body, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
