@@ -2,11 +2,12 @@
 
 A page is read into elements with the end tags that HTML implies. What is never main text goes at once: scripts, styles, forms,
 navigation, asides, footers, headers outside an article, and elements whose class, id or role names a menu, sidebar, notice,
-advert, comment section and the like. If the page has an article or main element with text, only text in those counts.
+advert, comment section and the like.
 
-What remains may still be template. Every container that is left gets a hash of its subtree (tags, names and text); hashes are
-counted per host over all pages, and subtrees that recur on many pages of a host are deleted from each of them. Paragraphs and
-headings of an article are not containers: a passage that articles share stays.
+What remains may still be template. Every element that is left, named or not, in an article or out of it, gets a hash of its
+subtree (tags, names and text); hashes are counted per host over all pages, and subtrees that recur on many pages of a host are
+deleted from each of them. Running text of an article (paragraphs, headings, quotes and what is inline) must recur on more
+pages than the rest does. Only then, if an article or main element of the page still has text, only text in those counts.
 
 Counts are summed before they are shuffled. A host with P pages of S subtrees on average has fewer than S / ratio recurring ones,
 so its template is a short list. Up to ``BROADCAST_ROWS`` subtrees in all are broadcast; beyond that pages join by host and salt.
@@ -27,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, written
+from hopwright.llm.common import let, table, written
 from hopwright.llm.line_dedup import host_of
 
 RATIO = 0.5
+#: For the running text of articles.
+PROSE_RATIO = 0.8
 MIN_PAGES = 10
 SALTS = 48
 #: 16 bytes a row and the host names.
@@ -54,8 +57,7 @@ SIBLINGS = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-CONTAINERS = frozenset("div section ul ol dl table header center details figure span".split())
-PLAIN = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address li".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre address".split())
 WORDS = frozenset(
     "ad ads adv adbox adslot adsense dfp nav navbar navigation menu submenu footer header masthead topbar sidebar side rail widget widgets banner cookie cookies consent gdpr notice notices alert popup modal overlay toast share sharing social related recommended promo promotion sponsored sponsor newsletter subscribe signup login breadcrumb breadcrumbs pagination pager comments comment disqus replies reply respond copyright skip toolbar paywall".split()
 )
@@ -100,41 +102,53 @@ def unwanted(tag: str, named: dict[str, str], in_article: bool) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "name", "dropped", "article", "candidate", "parts", "hash")
+    __slots__ = ("tag", "name", "dropped", "article", "parts", "hash")
 
-    def __init__(self, tag, name, dropped, article, candidate):
-        self.tag, self.name, self.dropped, self.article, self.candidate, self.parts, self.hash = tag, name, dropped, article, candidate, [], 0
+    def __init__(self, tag, name, dropped, article):
+        self.tag, self.name, self.dropped, self.article, self.parts, self.hash = tag, name, dropped, article, [], 0
 
 
-def blocks(html: str | None) -> list[tuple[str, list[int]]]:
-    """The text blocks that may be main text, in page order, each with the hashes of the containers it is in."""
+def blocks(html: str | None) -> list[tuple[str, bool, list[int]]]:
+    """The text blocks that may be main text, in page order, each with whether it is in an article and the hashes of the elements
+    that hold all of it. Odd hashes are those of an article's running text."""
     html = html or ""
-    root = _Element("", "", False, 0, False)
+    root = _Element("", "", False, False)
     stack, found, pieces = [root], [], []
+    # The elements around the first piece of a block, how many of them hold all pieces so far, and how many are still open.
+    around, common, still = [], 0, 0
 
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                found.append((text, stack[-1].article, [e for e in stack if e.candidate]))
+                found.append((text, around[common - 1].article, around[1:common]))
 
     def close(depth: int) -> None:
+        nonlocal still
+        still = min(still, depth)
         while len(stack) > depth:
             e = stack.pop()
             h = xxhash.xxh64_intdigest("\0".join(map(str, (e.tag, e.name, *e.parts))))
+            h = h & ~1 | (e.article and (e.tag in PROSE or e.tag not in BLOCKS))
             e.hash = h - (1 << 64) if h >> 63 else h
             stack[-1].parts.append(e.hash)
             e.parts = None
 
     def text_of(piece: str) -> None:
+        nonlocal around, common, still
         top = stack[-1]
         if not piece:
             return
         piece = unescape(piece) if "&" in piece else piece
         top.parts.append(" ".join(piece.split()))
-        if not top.dropped:
-            pieces.append(piece)
+        if top.dropped:
+            return
+        if top.parts[-1]:
+            if not any(map(str.strip, pieces)):
+                around, common, still = stack[:], len(stack), len(stack)
+            common = min(common, still)
+        pieces.append(piece)
 
     at, n = 0, len(html)
     while at < n:
@@ -185,8 +199,7 @@ def blocks(html: str | None) -> list[tuple[str, list[int]]]:
         dropped = up.dropped or unwanted(tag, named, bool(up.article))
         article = up.article or (not dropped and (tag in ("article", "main") or named.get("role", "").lower() == "main" or named.get("itemprop") == "articleBody"))
         name = f"{named.get('class', '')}|{named.get('id', '')}"
-        inside = tag in CONTAINERS if article else tag in PLAIN
-        e = _Element(tag, name, dropped, bool(article), inside and not dropped and not (article and name == "|"))
+        e = _Element(tag, name, dropped, bool(article))
         stack.append(e)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(html, at)
@@ -196,22 +209,22 @@ def blocks(html: str | None) -> list[tuple[str, list[int]]]:
             close(len(stack) - 1)
     flush()
     close(1)
-    if any(article for _, article, _ in found):
-        found = [x for x in found if x[1]]
-    return [(text, list(dict.fromkeys(e.hash for e in inside))) for text, _, inside in found]
+    return [(text, article, list(dict.fromkeys(e.hash for e in inside))) for text, article, inside in found]
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     """The main text of one page, given the hashes of its host's template."""
-    return "\n".join(text for text, inside in blocks(html) if not template.intersection(inside))
+    stay = [(text, article) for text, article, inside in blocks(html) if not template.intersection(inside)]
+    only = any(article for _, article in stay)
+    return "\n".join(text for text, article in stay if article or not only)
 
 
-_PARSED = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.list_(pa.int64()))]))
+_PARSED = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("inside", pa.list_(pa.int64()))]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [[{"text": t, "inside": i} for t, i in blocks(h.as_py())] for h in batch.column(batch.num_columns - 1)]
+        rows = [[{"text": t, "article": a, "inside": i} for t, a, i in blocks(h.as_py())] for h in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, _PARSED)], names=[*batch.schema.names[:-1], "blocks"])
 
 
@@ -219,17 +232,19 @@ def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, host and the blocks of each page."""
     source = pages.select(F.col(key), F.col("url"), host_of(F.col("url")).alias("host"), F.col("html"))
     kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(_parse, f"`{key}` {kind}, url string, host string, blocks array<struct<text:string,inside:array<bigint>>>")
+    return source.mapInArrow(_parse, f"`{key}` {kind}, url string, host string, blocks array<struct<text:string,article:boolean,inside:array<bigint>>>")
 
 
 def templates(parsed: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(``__host``, ``__hash``) of the subtrees that recur on at least ``min_pages`` pages and more than ``ratio`` of a host's."""
+    """(``__host``, ``__hash``) of the subtrees that recur on at least ``min_pages`` pages and more than ``ratio`` of a host's, for
+    running text of articles more than ``PROSE_RATIO``."""
     totals = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("__pages"))
     each = parsed.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["inside"])))).alias("__hash"))
     counts = each.groupBy("host", "__hash").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
     salted = totals.filter(F.col("__pages") >= min_pages).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = counts.withColumn("__salt", F.pmod("__hash", F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"])
-    return found.filter(F.col("__n") > ratio * F.col("__pages")).select(F.col("host").alias("__host"), "__hash")
+    least = F.when(F.col("__hash").bitwiseAND(F.lit(1)) == 1, F.lit(max(ratio, PROSE_RATIO))).otherwise(F.lit(ratio))
+    return found.filter(F.col("__n") > least * F.col("__pages")).select(F.col("host").alias("__host"), "__hash")
 
 
 def extract(pages: DataFrame, key: str = "page_id", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -243,7 +258,8 @@ def extract(pages: DataFrame, key: str = "page_id", ratio: float = RATIO, min_pa
         lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = parsed.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(lists, (F.col("host") == F.col("__host")) & (F.col("__own") == F.col("__salt")), "left")
     stays = F.when(F.col("__drop").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["inside"], F.col("__drop"))))
-    return rows.select(F.col(key), "url", F.array_join(F.transform(stays, lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    only = lambda x: F.when(F.exists(x, lambda b: b["article"]), F.filter(x, lambda b: b["article"])).otherwise(x)
+    return rows.select(F.col(key), "url", F.array_join(F.transform(let(stays, only), lambda b: b["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op3_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,6 +244,26 @@ def test_site_template(spark):
     assert site_template.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_site_template_in_articles(spark):
+    notice = "<div>Prices may change</div><table><tr><td>open daily</table><ul><li>All<li>offers</ul><p>Written by the desk</p>"
+    page = "<body><h2>Top of the site</h2><article><h1>Title {0}</h1>{1}<p>Body {0}</p>{2}<a>Share</a></article><p>Outside {0}</p></body>"
+    half = lambda i: "<p>A passage of some</p>" if i < 8 else ""
+    rows = [(i, "http://h.example/p", page.format(i, notice, half(i))) for i in range(12)]
+    # An article with nothing but template is as good as none.
+    rows += [(i, "http://k.example/p", f"<main><div>Loading</div></main><p>Own {i}</p>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {(r.url[7], r.page_id): r.text for r in site_template.extract(df, min_pages=5).collect()}
+    want = {("h", i): f"Title {i}\nBody {i}" + ("\nA passage of some" if i < 8 else "") for i in range(12)}
+    assert got == want | {("k", i): f"Own {i}" for i in range(12)}
+
+
+def test_site_template_hashes_hold_whole_blocks():
+    inside = lambda html: {t: len(h) for t, _, h in site_template.blocks(html)}
+    # A bold word is not the paragraph, even when its end tag is missing; a link that stands alone is its block.
+    assert inside("<div>some <b>bold</b> words</div>") == inside("<div>some <b>bold words</div>") == {k: 1 for k in ["some bold words"]}
+    assert inside("<div><a>link</a><p>text</p></div>") == {"link": 2, "text": 2}
+
+
 def test_warc_round_trip(spark):
     df = spark.createDataFrame(PAGES + [(9, "u\n v", "<p>two</p><div>same</div>"), (8, "é", "Ünïcode 🙂" * 1000)], "page_id bigint, url string, html string").withColumn("kind", F.lit(1))
     folder = warc_zstd.fresh_path(spark, "warc-test")
