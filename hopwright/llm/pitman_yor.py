@@ -5,9 +5,10 @@ end of a text is the empty word). A restaurant of the speller is the context of
 one before that, and a hash of the rest of the word so far. A restaurant of all three shares its parent (the two nearest bytes)
 with the others that end alike, that one shares the nearest byte, and so down to the empty context and a uniform base. Every
 customer of a restaurant sits at a table and every table is a customer of the parent: a word's tables are what the speller
-learns from. Seating starts from a run of the Chinese restaurant process and is resampled by Gibbs moves: a customer drawn at
-random leaves and is seated again in proportion to the others; a table that opens or closes adds or takes a customer above.
-Predictive probabilities are averaged over several samples of the seating.
+learns from. Seating starts with one table a cell and is resampled by Gibbs sweeps over all customers: of a cell with c customers
+only the number t of its tables matters, and given the tables of the restaurant and the parent's predictive probability that has
+the weight S(c, t) a^t, with generalized Stirling numbers S. So t is drawn at once, whatever the count. Numbers S are exact up
+to c = ``EXACT`` and by saddle point beyond. Predictive probabilities are averaged over several samples after a burn-in.
 
 Words are not bounded, so the word restaurant is a table in Spark: each word's seating is sampled where its row lies, given the
 speller and the restaurant's total number of tables, which is carried from one round to the next. The speller is bounded
@@ -27,6 +28,7 @@ read; other columns may have any names.
 
 from __future__ import annotations
 
+import functools
 import math
 import secrets
 from collections import Counter
@@ -56,8 +58,10 @@ DISCOUNT = (0.5, 0.6, 0.7, 0.75)
 STRENGTH = (1.0, 1.0, 1.0, 1.0)
 WORD_DISCOUNT, WORD_STRENGTH = 0.5, 1.0
 BURN_IN, SAMPLES, MOVES = 2, 3, 2
-#: Rounds of words and speller in turn.
-ROUNDS = 1
+#: Rounds of words and speller in turn, each a sweep over all customers of words; the last one is averaged over its samples.
+ROUNDS = 3
+#: Customers up to which Stirling numbers are tabled.
+EXACT = 1024
 SEED = 11
 BLOCK_BYTES = 24 << 20
 #: Folders of the answers.
@@ -102,29 +106,106 @@ def cells(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return context.astype(np.int64) * SYMBOLS + symbols, starts
 
 
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """Stirling's series from 256 on."""
+    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 256)))))
+    x = np.maximum(n, 256).astype(float)
+    return np.where(n < 256, small[np.minimum(n, 255)], x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3))
+
+
+@functools.cache
+def _means(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log(1 - x), falling, and the log of the mean customers a table that x gives."""
+    z = -np.geomspace(1e-9, 200.0, 4096)
+    return z, np.log(d * np.expm1(z) / np.expm1(d * z)) + (d - 1) * z
+
+
+def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) from its generating function ((1 - (1 - x)^d) / d)^t / t!, without the factor of c alone."""
+    grid, mean = _means(d)
+    ratio = np.log(c / t)
+    # z = log(1 - x) from a table, then by Newton's method.
+    z = np.interp(ratio, mean, grid)
+    for _ in range(2):
+        e, ed = -np.expm1(z), -np.expm1(d * z)
+        slope = d - 1 - np.exp(z) / e + d * np.exp(d * z) / ed
+        z = np.clip(z - (np.log(d * e / ed) + (d - 1) * z - ratio) / np.minimum(slope, -1e-6), -200.0, -1e-9)
+    x, f = -np.expm1(z), -np.expm1(d * z)
+    mean = x * d * np.exp((d - 1) * z) / f
+    spread = np.maximum(t * (mean + x * x * d * (1 - d) * np.exp((d - 2) * z) / f - mean**2), 1e-9)
+    return t * np.log(f / d) - c * np.log(x) - 0.5 * np.log(spread) - _log_factorial(t)
+
+
+@functools.cache
+def _stirling(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """log S(c, t) up to ``EXACT``, and what to add to the saddle point for t up to half of it: its error depends on t and fades."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, EXACT):
+        t = np.arange(1, c + 2)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], out[c, 1 : c + 2] + np.log(np.maximum(c - d * t, 1e-300)))
+    t = np.arange(1, EXACT // 2 + 1)
+    off = out[EXACT, t] - _saddle(np.full(len(t), EXACT), t, d)
+    return out, np.concatenate(([0.0], off - off[-1]))
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) but for a term of c alone."""
+    exact, off = _stirling(d)
+    out = np.where(t <= c, exact[np.minimum(c, EXACT), np.minimum(t, EXACT)], -np.inf)
+    far = np.flatnonzero((c > EXACT) & (t <= c))
+    out[far] = _saddle(c[far], t[far], d) + off[np.minimum(t[far], EXACT // 2)]
+    return out
+
+
+def draw_tables(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """A number of tables for each cell of c customers, with probability in proportion to S(c, t) a^t."""
+    out = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    order = order[c[order] > 1]
+    at = 0
+    while at < len(order):
+        # Cells of similar counts at a time. Weights are log-concave in t: around the mode a stretch of 10 deviations is all.
+        now = order[at : at + _PIECE // 4]
+        now = now[c[now] <= 2 * c[now[0]]]
+        n, a = c[now].astype(np.int64), log_a[now]
+        low, high = np.ones(len(now), np.int64), n.copy()
+        while n[-1] > 64 and (low < high).any():
+            mid = (low + high) // 2
+            up = log_stirling(n, np.minimum(mid + 1, n), d) - log_stirling(n, mid, d) + a > 0
+            low, high = np.where(up & (low < high), mid + 1, low), np.where(up, high, mid)
+        reach = 10 * np.sqrt(low).astype(np.int64) + 12 if n[-1] > 64 else n
+        first = np.maximum(low - reach, 1)
+        width = int((np.minimum(low + reach, n) - first).max()) + 1
+        fit = max(1, (1 << 21) // width)
+        now, n, a, first = now[:fit], n[:fit], a[:fit], first[:fit]
+        t = first[:, None] + np.arange(width)
+        w = log_stirling(np.repeat(n, width), t.ravel(), d).reshape(t.shape) + t * a[:, None]
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        out[now] = np.minimum(first + (w < rng.random((len(now), 1)) * w[:, -1:]).sum(axis=1), n)
+        at += len(now)
+    return out
+
+
 @dataclass
 class Seating:
-    """One level: the tables of all its (restaurant, symbol) cells as flat arrays, in order of the cells."""
+    """One level: the customers and tables of all its (restaurant, symbol) cells as flat arrays, in order of the cells."""
 
     discount: float
     strength: float
     keys: np.ndarray  # sorted cells
-    cell: np.ndarray  # of each table, by place in keys
-    size: np.ndarray  # customers of each table
-    where: np.ndarray = None  # the restaurant of each cell, numbered
-    opened: float | None = None  # tables of the one restaurant, if they are counted elsewhere
+    customers: np.ndarray
+    tables: np.ndarray
+    above: np.ndarray | None = None  # the place of each cell's parent
 
     def __post_init__(self):
-        if self.where is None:
-            self.where = np.unique(self.keys // SYMBOLS, return_inverse=True)[1]
-
-    def per_cell(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.keys)
-        return np.bincount(self.cell, self.size, n), np.bincount(self.cell, minlength=n).astype(float)
+        self.where = np.unique(self.keys // SYMBOLS, return_inverse=True)[1]
 
-    def tables_of(self, tables: np.ndarray) -> np.ndarray:
-        """The number of tables in the restaurant of each cell."""
-        return np.full(len(tables), self.opened) if self.opened is not None else np.bincount(self.where, tables)[self.where]
+    def resample(self, base: np.ndarray, rng: np.random.Generator) -> None:
+        """Seats all customers anew. Given a gamma variate of each restaurant's tables its cells are independent."""
+        opened = np.bincount(self.where, self.tables)
+        v = rng.gamma(self.strength / self.discount + opened)
+        self.tables = draw_tables(self.customers, np.log(self.discount * v[self.where] * base), self.discount, rng)
 
 
 def parent_cells(keys: np.ndarray, level: int) -> np.ndarray:
@@ -139,7 +220,7 @@ def predictive(levels: list[Seating]) -> list[np.ndarray]:
     for k, s in enumerate(levels):
         rest, symbol = s.keys // SYMBOLS, s.keys % SYMBOLS
         rows = np.unique(rest) if k == len(BITS) else np.arange(RESTAURANTS[k])
-        customers, tables = s.per_cell()
+        customers, tables = s.customers, s.tables
         where = np.searchsorted(rows, rest)
         total = np.bincount(where, customers, len(rows))
         opened = np.bincount(where, tables, len(rows))
@@ -154,83 +235,6 @@ def _at(p: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return p[keys // SYMBOLS, keys % SYMBOLS]
 
 
-def _pick(s: Seating, cells_: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A table of each given cell, in proportion to ``weight``."""
-    total = np.cumsum(weight)
-    first, last = np.searchsorted(s.cell, cells_), np.searchsorted(s.cell, cells_, "right") - 1
-    low = np.where(first > 0, total[first - 1], 0.0)
-    return np.clip(np.searchsorted(total, low + rng.random(len(cells_)) * (total[last] - low), "right"), first, last)
-
-
-def _seat(s: Seating, cells_: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Seats one more customer at each given (distinct) cell; which of them opened a table."""
-    customers, tables = s.per_cell()
-    new = (s.strength + s.discount * s.tables_of(tables)[cells_]) * base[cells_]
-    old = customers[cells_] - s.discount * tables[cells_]
-    fresh = rng.random(len(cells_)) * (new + old) < new
-    joins, opens = cells_[~fresh], cells_[fresh]
-    if len(joins):
-        s.size[_pick(s, joins, s.size - s.discount, rng)] += 1
-    if len(opens):
-        at = np.searchsorted(s.cell, opens, "right")
-        s.cell, s.size = np.insert(s.cell, at, opens), np.insert(s.size, at, 1)
-    return fresh
-
-
-def _unseat(s: Seating, cells_: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Takes a customer at random from each given (distinct) cell; which of them closed a table."""
-    tables = _pick(s, cells_, s.size.astype(float), rng)
-    s.size[tables] -= 1
-    closed = s.size[tables] == 0
-    if closed.any():
-        keep = s.size > 0
-        s.cell, s.size = s.cell[keep], s.size[keep]
-    return closed
-
-
-def _change(levels: list[Seating], k: int, cells_: np.ndarray, add: bool, p: list[np.ndarray], rng: np.random.Generator) -> None:
-    """Adds or takes one customer at each given cell of level k (repeats allowed), and carries tables to the levels below."""
-    while len(cells_):
-        now, at = np.unique(cells_, return_index=True)
-        rest = np.delete(cells_, at)
-        s = levels[k]
-        base = _at(p[k - 1], parent_cells(s.keys, k)) if k else np.full(len(s.keys), 1.0 / SYMBOLS)
-        moved = _seat(s, now, base, rng) if add else _unseat(s, now, rng)
-        if k and moved.any():
-            below = np.searchsorted(levels[k - 1].keys, parent_cells(s.keys[now[moved]], k))
-            _change(levels, k - 1, below, add, p, rng)
-        cells_ = rest
-
-
-def _start(s: Seating, counts: np.ndarray, base: np.ndarray, rng: np.random.Generator) -> Seating:
-    """A first seating by the process itself; from the 32nd customer of a cell on, in batches that double."""
-    left = counts.astype(np.int64) - 1
-    for _ in range(31):
-        now = np.flatnonzero(left > 0)
-        if not len(now):
-            return s
-        _seat(s, now, base, rng)
-        left[now] -= 1
-    while (left > 0).any():
-        customers, tables = s.per_cell()
-        batch = np.minimum(left, customers.astype(np.int64))
-        new = (s.strength + s.discount * s.tables_of(tables)) * base
-        opened = rng.binomial(batch, np.clip(new / (new + customers), 0, 1))
-        s.size = s.size + np.floor(s.size / customers[s.cell] * (batch - opened)[s.cell]).astype(np.int64)
-        # What rounding leaves over goes to each cell's first table.
-        short = customers.astype(np.int64) + batch - opened - np.bincount(s.cell, s.size, len(s.keys)).astype(np.int64)
-        s.size[np.searchsorted(s.cell, np.arange(len(s.keys)))] += short
-        more = np.repeat(np.arange(len(s.keys)), opened)
-        at = np.searchsorted(s.cell, more, "right")
-        s.cell, s.size = np.insert(s.cell, at, more), np.insert(s.size, at, 1)
-        left -= batch
-    return s
-
-
-def _fresh(keys: np.ndarray, discount: float, strength: float, where=None, opened=None) -> Seating:
-    return Seating(discount, strength, keys, np.arange(len(keys)), np.ones(len(keys), np.int64), where, opened)
-
-
 @dataclass
 class Speller:
     """Averaged probabilities of the symbols: ``rows[context]`` is the line of ``table`` (log10) that a context uses, ``column`` the
@@ -255,22 +259,21 @@ def fit(keys: np.ndarray, counts: np.ndarray, seed: int = SEED, burn_in: int = B
     levels: list[Seating] = []
     # From the longest context down: the tables of a level are the customers of the next.
     for k in range(len(BITS), -1, -1):
-        s = _start(_fresh(keys, DISCOUNT[k], STRENGTH[k]), counts, np.full(len(keys), 1.0 / 30), rng)
+        s = Seating(DISCOUNT[k], STRENGTH[k], keys, counts.astype(np.int64), np.ones(len(keys), np.int64))
         levels.insert(0, s)
         if k:
-            keys, at = np.unique(parent_cells(keys, k), return_inverse=True)
-            counts = np.bincount(at, s.per_cell()[1], len(keys)).astype(np.int64)
+            keys, s.above = np.unique(parent_cells(keys, k), return_inverse=True)
+            counts = np.bincount(s.above, minlength=len(keys))
     top = len(levels) - 1
     seen = np.unique(levels[top].keys // SYMBOLS)
     sums: list[np.ndarray] | None = None
     for sweep in range(burn_in + samples):
         for _ in range(moves):
             p = predictive(levels[:-1])
-            for k in range(top, -1, -1):
-                every = np.arange(len(levels[k].keys))
-                if len(every):
-                    _change(levels, k, every, False, p, rng)
-                    _change(levels, k, every, True, p, rng)
+            for k, s in reversed(list(enumerate(levels))):
+                s.resample(_at(p[k - 1], parent_cells(s.keys, k)) if k else np.full(len(s.keys), 1.0 / SYMBOLS), rng)
+                if k:
+                    levels[k - 1].customers = np.bincount(s.above, s.tables, len(levels[k - 1].keys)).astype(np.int64)
         if sweep >= burn_in:
             p = predictive(levels)[-2:]
             sums = p if sums is None else [a + b for a, b in zip(sums, p)]
@@ -283,28 +286,12 @@ def fit(keys: np.ndarray, counts: np.ndarray, seed: int = SEED, burn_in: int = B
     return Speller(rows, column, np.log10(np.concatenate([x[:, kept] for x in (sums[1], sums[0])]) / samples).astype(np.float32))
 
 
-def seat_words(counts: np.ndarray, logs: np.ndarray, opened: float, seed: int, samples: int = SAMPLES, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
+def seat_words(counts: np.ndarray, logs: np.ndarray, opened: float, seed: int, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
     """Mean number of tables over the samples, and the last one, of words with the given counts and base log10 probabilities."""
-    n = len(counts)
-    mean, last = np.zeros(n), np.zeros(n, np.int64)
-    once = counts == 1
-    mean[once], last[once] = 1.0, 1
-    rest = np.flatnonzero(counts > 1)
-    if not len(rest):
-        return mean, last
     rng = np.random.default_rng(seed)
-    base = 10.0 ** logs[rest]
-    s = _start(_fresh(np.arange(len(rest)), WORD_DISCOUNT, WORD_STRENGTH, np.zeros(len(rest), np.int64), opened), counts[rest], base, rng)
-    every = np.arange(len(rest))
-    total = np.zeros(len(rest))
-    for _ in range(samples):
-        for _ in range(moves):
-            _unseat(s, every, rng)
-            _seat(s, every, base, rng)
-        last[rest] = s.per_cell()[1]
-        total += last[rest]
-    mean[rest] = total / samples
-    return mean, last
+    log_a = np.log(WORD_STRENGTH + WORD_DISCOUNT * opened) + logs * math.log(10)
+    drawn = [draw_tables(counts, log_a, WORD_DISCOUNT, rng) for _ in range(samples)]
+    return np.mean(drawn, axis=0), drawn[-1]
 
 
 def held_out(key: Column) -> Column:
@@ -445,9 +432,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     seated, opened = vocabulary.select("word", "c", F.lit(1.0).alias("tables"), F.lit(1).cast("bigint").alias("last")), float(distinct)
     for turn in range(ROUNDS):
         speller = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + turn))
-        seated = written(vocabulary.mapInArrow(_seated(speller, opened, seed + turn), "word binary, c bigint, tables double, last bigint"), "seated")
+        # As in the speller, a gamma variate of the restaurant's tables makes the words independent.
+        drawn = np.random.default_rng(seed + turn).gamma(WORD_STRENGTH / WORD_DISCOUNT + opened) - WORD_STRENGTH / WORD_DISCOUNT
+        seated = written(vocabulary.mapInArrow(_seated(speller, float(drawn), seed + turn), "word binary, c bigint, tables double, last bigint"), "seated")
         speller.destroy()
-        opened = float(seated.filter("c > 0").agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0])
+        opened = float(seated.filter("c > 0").agg(F.coalesce(F.sum("tables" if turn == ROUNDS - 1 else "last"), F.lit(0)).cast("double")).first()[0])
     last = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + ROUNDS))
     # All words that no training text has are one type, with what the speller leaves to them.
     spelt = seated.filter("c > 0").select("word").mapInArrow(_spelt(last), "p double").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]

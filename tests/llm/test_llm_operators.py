@@ -325,3 +325,25 @@ def test_speller_is_a_distribution():
     assert logs[0] > logs[1] and np.isfinite(logs).all()
     mean, last = pitman_yor.seat_words(np.array([1, 2, 500, 0]), np.array([-3.0, -1.0, -2.0, -9.0]), 50.0, 1)
     assert mean[0] == last[0] == 1 and 1 <= mean[2] <= 500 and last[3] == 0
+
+
+def test_tables_of_a_cell_are_drawn_whole():
+    # Against the weights S(c, t) a^t by their recursion, below and beyond the tabled counts.
+    rng = np.random.default_rng(4)
+    for c, d, a in ((5, 0.6, 0.7), (300, 0.5, 3.0), (3000, 0.75, 0.4), (3000, 0.5, 20.0)):
+        w = np.full(c + 2, -np.inf)
+        w[1] = 0.0
+        for n in range(1, c):
+            t = np.arange(1, n + 2)
+            w[1 : n + 2] = np.logaddexp(w[: n + 1], w[1 : n + 2] + np.log(np.maximum(n - d * t, 1e-300)))
+        w[1:] += np.arange(1, c + 2) * np.log(a)
+        p = np.exp(w - w.max())
+        p /= p.sum()
+        mean = (p * np.arange(c + 2)).sum()
+        spread = math.sqrt((p * (np.arange(c + 2) - mean) ** 2).sum())
+        got = pitman_yor.draw_tables(np.full(1000, c), np.full(1000, math.log(a)), d, rng)
+        assert abs(got.mean() - mean) < 5 * spread / math.sqrt(1000) and abs(got.std() / spread - 1) < 0.15
+    # A word of many customers: one sample is all but independent of the next.
+    few = [pitman_yor.seat_words(np.array([200_000]), np.array([-2.0]), 5e4, s)[1][0] for s in range(40)]
+    mean = pitman_yor.seat_words(np.array([200_000]), np.array([-2.0]), 5e4, 99, samples=60)[0][0]
+    assert abs(np.mean(few) - mean) < 5 * np.std(few) / math.sqrt(40)
