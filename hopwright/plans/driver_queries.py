@@ -114,6 +114,13 @@ def outcome_precedence(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id % 7 < 3").select("event_type", o).groupBy("event_type").agg(S.worst_outcome(F.col("o")).alias("worst"), F.max(S.severity(F.col("o"))).alias("severity"))
 
 
+@query("SELECT event_type, arg_max(o, s)::INTEGER AS worst, max(s) AS severity FROM (SELECT event_type, o, CASE o WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS s FROM (SELECT event_type, (user_id % 5)::INTEGER AS o FROM events)) GROUP BY 1")
+def outcome_precedence_all(spark, sf_dir):
+    """``outcome_precedence`` over all events."""
+    o = (F.col("user_id") % 5).cast("int").alias("o")
+    return table(spark, sf_dir, "events").select("event_type", o).groupBy("event_type").agg(S.worst_outcome(F.col("o")).alias("worst"), F.max(S.severity(F.col("o"))).alias("severity"))
+
+
 @query("SELECT doc_id, b AS bucket, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT % 100)::BIGINT AS b FROM documents)")
 def split_assign(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.hash_bucket(F.col("doc_id")).alias("bucket"), S.split_of(F.col("doc_id")).alias("split"))
@@ -473,6 +480,14 @@ def mixed_shd(spark, sf_dir):
     return scoring.mixed_distance(state(2), state(3))
 
 
+@query("WITH e AS (SELECT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst, s_acctbal FROM supplier WHERE s_nationkey <> s_suppkey % 25), t AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END | CASE WHEN s_acctbal < 0 THEN 4 ELSE 0 END) AS s FROM e WHERE s_acctbal < 5000 GROUP BY ALL), p AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END | CASE WHEN s_acctbal >= 9000 THEN 4 ELSE 0 END) AS s FROM e WHERE s_acctbal >= 5000 GROUP BY ALL) SELECT count(*) FILTER (t.s IS DISTINCT FROM p.s) AS shd FROM t FULL JOIN p USING (x, y)")
+def mixed_shd_all(spark, sf_dir):
+    """``mixed_shd`` over all suppliers: each is on one side by its balance, and the ends of the range are confounded as well."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 25).cast("int").alias("dst"), "s_acctbal").filter("src <> dst")
+    state = lambda side, both: scoring.mixed_states(s.filter(side), s.filter(both).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return scoring.mixed_distance(state("s_acctbal < 5000", "s_acctbal < 0"), state("s_acctbal >= 5000", "s_acctbal >= 9000"))
+
+
 @query("SELECT o_custkey, o_orderstatus, arg_max(coalesce(o_totalprice, 1), o_orderkey) AS score FROM orders GROUP BY ALL")
 def prediction_keep_last(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("score", F.col("o_totalprice"))

@@ -185,3 +185,15 @@ def test_spans_expressions(spark):
     assert f(spans.start_ms(F.lit(5000), F.lit(1.001))) == 5000 - int(1.001 * 1000)
     assert f(spans.next_on_grid(F.lit(31), 30)) == 60 and f(spans.next_on_grid(F.lit(60), 30)) == 60
     assert [f(spans.outcome_of(F.lit(s).cast("int"), F.lit(2.0), F.lit(1.0))) for s in (None, 0, 404, 500, 200)] == [3, 3, 1, 2, 4]
+
+
+def test_queries_over_all_rows_read_every_row(spark, tmp_path):
+    from hopwright import catalog
+
+    # The worst outcome is in the event that outcome_precedence leaves out.
+    spark.createDataFrame([(0, 0, "x"), (5, 3, "x")], "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["outcome_precedence_all"](spark, str(tmp_path)).collect()] == [("x", 3, 4)]
+    # Suppliers 1 and 5 are on neither side of mixed_shd; 7 and 32 have the same edge, but one of them is confounded.
+    rows = [(1, 2, 10.0), (5, 2, 6000.0), (7, 2, -1.0), (32, 2, 6000.0)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert catalog.QUERIES["mixed_shd_all"](spark, str(tmp_path)).first()[0] == 3
