@@ -1,4 +1,4 @@
-"""Scores of predictions against truth: confusion, ranks, structural distance, orientation."""
+"""Scores of predictions against truth: confusion, ranks, structural distance."""
 
 from __future__ import annotations
 
