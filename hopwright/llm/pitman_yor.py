@@ -1,109 +1,65 @@
-"""A hierarchical Pitman-Yor language model, trained and applied over whole corpora.
-
-The tokens of a text are drawn from a restaurant of words; its base distribution spells a word byte by byte, then an end (the
-end of a text is the empty word). A restaurant of the speller is the context of a byte: the class of the byte before it, of the
-one before that, and a hash of the rest of the word so far. A restaurant of all three shares its parent (the two nearest bytes)
-with the others that end alike, that one shares the nearest byte, and so down to the empty context and a uniform base. Every
-customer of a restaurant sits at a table and every table is a customer of the parent: a word's tables are what the speller
-learns from. Seating starts with one table a cell and is resampled by Gibbs sweeps over all customers: of a cell with c customers
-only the number t of its tables matters, and given the tables of the restaurant and the parent's predictive probability that has
-the weight S(c, t) a^t, with generalized Stirling numbers S. So t is drawn at once, whatever the count. Numbers S are exact up
-to c = ``EXACT`` and by saddle point beyond. Predictive probabilities are averaged over several samples after a burn-in.
-
-Words are not bounded, so the word restaurant is a table in Spark: each word's seating is sampled where its row lies, given the
-speller and the restaurant's total number of tables, which is carried from one round to the next. The speller is bounded
-whatever the corpus (2^18 restaurants of the last level with 257 symbols, 270 MB at most): Spark sums its counts over all words
-and the driver samples its seating with vector operations and broadcasts the averaged table.
-
-Words that no training text has are read as one unknown type, as the base score does; its base probability is what the speller
-leaves over beyond the known words. So the probabilities of the known words, the end and the unknown type sum to 1.
-
-Texts are written in blocks. A block asks once for each of its distinct words and gets their counts and probabilities back
-through a table in the shared folder, so what is shuffled follows the distinct words of blocks, not the tokens or the texts.
-
-Null and empty texts have one token, the end. A null key hashes as '' for the fold. Repeated rows are scored alike and count
-as often as they occur. An empty table gives no rows; without training texts the speller is uniform. Only key and text are
-read; other columns may have any names.
+"""A hierarchical Pitman-Yor language model of words in context, trained and applied over whole corpora.
+
+The tokens of a text are drawn from restaurants by the word before them. The restaurants of the last level are the values of
+12 bits of that word's hash; those that agree in 6 of the bits share a parent, all parents share the restaurant without context,
+and its base is uniform over the distinct words of the training texts and one unknown type. Every customer sits at a table and
+every table is a customer of the parent. What is gathered are the counts of (restaurant, word) cells: they grow with the corpus,
+only the number of restaurants is fixed.
+
+Seating is resampled by Gibbs sweeps over all customers: of a cell with c customers only the number t of its tables matters, and
+given a gamma variate of the restaurant's tables and the parent's predictive probability, t has the weight S(c, t) a^t with
+generalized Stirling numbers S, whatever the other cells hold. So t is drawn at once, whatever the count. Numbers S are exact up
+to c = ``EXACT`` and by saddle point beyond. After ``BURN_IN`` sweeps predictive probabilities are averaged over ``SAMPLES`` more.
+
+All cells of one word lie in one bucket (a hash of the word), at all levels, so a sweep needs no shuffle: between sweeps only the
+tables of each restaurant are summed (4,161 numbers, whatever the corpus). The word's hash, the cell and the sweep seed each draw,
+so scores do not depend on how rows are partitioned.
+
+Texts are taken in blocks of up to ``BLOCK_BYTES``. A block's distinct cells are asked for once, packed by bucket; texts become
+lists of places in them. Training counts and questions are the same rows, answers go back by block. What is shuffled follows the
+distinct cells of blocks; a frequent word has at most as many cells a block as there are restaurants, so no bucket is hot.
+
+A word that no training text has is the unknown type, as in the base score; as a context it counts like any other word.
+
+Null and empty texts have one token, the end, which is also the context of a text's first word. A null key hashes as '' for the
+fold. Repeated rows are scored alike and count as often as they occur. A text of any length is read whole and makes a block of its
+own if it is longer than one. Ties do not arise. An empty table gives no rows; without training texts every word has the unknown
+type's probability, 1. Only key and text are read; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import secrets
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyarrow import fs as pafs
-from pyarrow.dataset import dataset
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import fresh_path, table, written
+from hopwright.llm.common import table, written
 
-SYMBOLS = 257
-END = 256
 FOLDS, HELD_OUT = 7, 2
-#: Bits of the context: the class of the nearest byte, of the one before it, and a hash of the rest of the word up to REACH bytes.
-BITS = (6, 6, 6)
-REACH = 7
-RESTAURANTS = tuple(1 << sum(BITS[:k]) for k in range(len(BITS) + 1))
-#: Discount and strength of each level, from the empty context up.
-DISCOUNT = (0.5, 0.6, 0.7, 0.75)
-STRENGTH = (1.0, 1.0, 1.0, 1.0)
-WORD_DISCOUNT, WORD_STRENGTH = 0.5, 1.0
-BURN_IN, SAMPLES, MOVES = 2, 3, 2
-#: Rounds of words and speller in turn, each a sweep over all customers of words; the last one is averaged over its samples.
-ROUNDS = 3
+#: Bits of the context word's hash at each level, from the restaurant without context up; each level's bits begin the next one's.
+BITS = (0, 6, 12)
+#: Discount and strength of each level.
+DISCOUNT = (0.6, 0.8, 0.9)
+STRENGTH = (1.0, 1.0, 1.0)
+BURN_IN, SAMPLES = 3, 3
 #: Customers up to which Stirling numbers are tabled.
 EXACT = 1024
 SEED = 11
-BLOCK_BYTES = 24 << 20
-#: Folders of the answers.
-BUCKETS = 256
-_PIECE = 1 << 17
-
-
-def byte_classes() -> np.ndarray:
-    """Letters, space, digits and three kinds of punctuation apart; other bytes by their low bits. 0 is the start."""
-    out = np.full(256, 31, np.uint32)
-    out[97:123] = np.arange(1, 27)
-    out[32], out[48:58], out[46], out[44] = 27, 28, 29, 30
-    out[128:] = 32 + (np.arange(128, 256) & 31)
-    return out
-
-
-_CLASS = byte_classes()
-_SPACE = 27
-
-
-def cells(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(context * SYMBOLS + symbol) of every byte and end of the given spellings, and where each spelling starts."""
-    sizes = np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    raw = np.frombuffer(b"\0".join(lines) + b"\0", np.uint8)
-    symbols = raw.astype(np.uint32)
-    symbols[starts[1:] - 1] = END
-    kind = np.concatenate((np.zeros(REACH, np.uint32), _CLASS[raw]))
-    kind[REACH + starts[1:] - 1] = 0
-    n = len(raw)
-    back = lambda j: kind[REACH - j : REACH - j + n]
-    # Nothing is seen beyond the start of the text, nor, from the third byte on, beyond the start of the word.
-    first, second = back(1), np.where(back(1) == 0, 0, back(2))
-    context = first | (second << np.uint32(BITS[0]))
-    tail, inside = np.zeros(n, np.uint32), (first != 0) & (second != 0) & (first != _SPACE) & (second != _SPACE)
-    for j in range(3, REACH + 1):
-        seen = back(j)
-        tail = np.where(inside, tail * np.uint32(67) + seen + np.uint32(1), tail)
-        inside &= (seen != 0) & (seen != _SPACE)
-    tail = (tail * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS[2])
-    context |= tail << np.uint32(BITS[0] + BITS[1])
-    return context.astype(np.int64) * SYMBOLS + symbols, starts
+BLOCK_BYTES = 16 << 20
+_PIECE = 1 << 15
+_CELLS = 1 << BITS[-1]
+#: Counts of a bucket that are held before they are summed.
+_PENDING = 1 << 22
 
 
 def _log_factorial(n: np.ndarray) -> np.ndarray:
@@ -158,258 +114,360 @@ def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out
 
 
-def draw_tables(c: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """A number of tables for each cell of c customers, with probability in proportion to S(c, t) a^t."""
+def draw_tables(c: np.ndarray, log_a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """A number of tables for each cell of c customers, with probability in proportion to S(c, t) a^t, by the uniforms ``u``. What
+    a cell draws does not depend on the cells beside it."""
     out = np.minimum(c, 1).astype(np.int64)
     order = np.argsort(c, kind="stable")
     order = order[c[order] > 1]
     at = 0
     while at < len(order):
         # Cells of similar counts at a time. Weights are log-concave in t: around the mode a stretch of 10 deviations is all.
-        now = order[at : at + _PIECE // 4]
+        now = order[at : at + _PIECE]
         now = now[c[now] <= 2 * c[now[0]]]
         n, a = c[now].astype(np.int64), log_a[now]
-        low, high = np.ones(len(now), np.int64), n.copy()
-        while n[-1] > 64 and (low < high).any():
+        low, high = np.ones(len(now), np.int64), np.where(n > 64, n, 1)
+        while (low < high).any():
             mid = (low + high) // 2
             up = log_stirling(n, np.minimum(mid + 1, n), d) - log_stirling(n, mid, d) + a > 0
             low, high = np.where(up & (low < high), mid + 1, low), np.where(up, high, mid)
-        reach = 10 * np.sqrt(low).astype(np.int64) + 12 if n[-1] > 64 else n
-        first = np.maximum(low - reach, 1)
-        width = int((np.minimum(low + reach, n) - first).max()) + 1
-        fit = max(1, (1 << 21) // width)
-        now, n, a, first = now[:fit], n[:fit], a[:fit], first[:fit]
+        reach = np.where(n > 64, 10 * np.sqrt(low).astype(np.int64) + 12, n)
+        first, last = np.maximum(low - reach, 1), np.minimum(low + reach, n)
+        fit = max(1, (1 << 21) // (int((last - first).max()) + 1))
+        now, n, a, first, last = now[:fit], n[:fit], a[:fit], first[:fit], last[:fit]
+        width = int((last - first).max()) + 1
         t = first[:, None] + np.arange(width)
         w = log_stirling(np.repeat(n, width), t.ravel(), d).reshape(t.shape) + t * a[:, None]
+        w = np.where(t <= last[:, None], w, -np.inf)
         w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        out[now] = np.minimum(first + (w < rng.random((len(now), 1)) * w[:, -1:]).sum(axis=1), n)
+        out[now] = np.minimum(first + (w < u[now][:, None] * w[:, -1:]).sum(axis=1), last)
         at += len(now)
     return out
 
 
+def uniforms(words: np.ndarray, context: np.ndarray | int, level: int, sweep: int, seed: int) -> np.ndarray:
+    """A uniform number for each cell, from a 64-bit mix of the word's hash, the restaurant, the level and the sweep."""
+    with np.errstate(over="ignore"):
+        x = words ^ (np.uint64(0x9E3779B97F4A7C15) * (np.uint64(1) + np.asarray(context).astype(np.uint64) * np.uint64(64) + np.uint64(level)))
+        x = x + np.uint64(0xD6E8FEB86659FD93) * np.uint64(1 + seed * 1024 + sweep)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
 @dataclass
-class Seating:
-    """One level: the customers and tables of all its (restaurant, symbol) cells as flat arrays, in order of the cells."""
-
-    discount: float
-    strength: float
-    keys: np.ndarray  # sorted cells
-    customers: np.ndarray
-    tables: np.ndarray
-    above: np.ndarray | None = None  # the place of each cell's parent
-
-    def __post_init__(self):
-        self.where = np.unique(self.keys // SYMBOLS, return_inverse=True)[1]
-
-    def resample(self, base: np.ndarray, rng: np.random.Generator) -> None:
-        """Seats all customers anew. Given a gamma variate of each restaurant's tables its cells are independent."""
-        opened = np.bincount(self.where, self.tables)
-        v = rng.gamma(self.strength / self.discount + opened)
-        self.tables = draw_tables(self.customers, np.log(self.discount * v[self.where] * base), self.discount, rng)
-
-
-def parent_cells(keys: np.ndarray, level: int) -> np.ndarray:
-    """Cells of level ``level - 1`` that the cells of ``level`` feed."""
-    return (keys // SYMBOLS) % RESTAURANTS[level - 1] * SYMBOLS + keys % SYMBOLS
-
-
-def predictive(levels: list[Seating]) -> list[np.ndarray]:
-    """For each level the dense probabilities of its restaurants; of the last, only of those that have customers (as ``rows`` orders them)."""
-    above = np.full((1, SYMBOLS), 1.0 / SYMBOLS)
-    out = []
-    for k, s in enumerate(levels):
-        rest, symbol = s.keys // SYMBOLS, s.keys % SYMBOLS
-        rows = np.unique(rest) if k == len(BITS) else np.arange(RESTAURANTS[k])
-        customers, tables = s.customers, s.tables
-        where = np.searchsorted(rows, rest)
-        total = np.bincount(where, customers, len(rows))
-        opened = np.bincount(where, tables, len(rows))
-        p = above[rows % RESTAURANTS[k - 1] if k else np.zeros(len(rows), int)] * ((s.strength + s.discount * opened) / (s.strength + total))[:, None]
-        p[where, symbol] += (customers - s.discount * tables) / (s.strength + total[where])
-        out.append(p)
-        above = p
-    return out
+class Totals:
+    """Customers and tables of every restaurant, level by level, and the distinct training words."""
 
+    customers: list[np.ndarray]
+    tables: list[np.ndarray]
+    distinct: int
 
-def _at(p: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return p[keys // SYMBOLS, keys % SYMBOLS]
+    def drawn(self, sweep: int, seed: int) -> list[np.ndarray]:
+        """A gamma variate of each restaurant's tables."""
+        rng = np.random.default_rng([seed, sweep])
+        return [rng.gamma(STRENGTH[k] / DISCOUNT[k] + t) for k, t in enumerate(self.tables)]
 
 
-@dataclass
-class Speller:
-    """Averaged probabilities of the symbols: ``rows[context]`` is the line of ``table`` (log10) that a context uses, ``column`` the
-    place of a symbol in it. Symbols that no word has are alike in every context and share a column."""
-
-    rows: np.ndarray
-    column: np.ndarray
-    table: np.ndarray
-
-    def logs(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word."""
-        out = []
-        for at in range(0, len(words), _PIECE):
-            cell, starts = cells(words[at : at + _PIECE])
-            out.append(np.add.reduceat(self.table[self.rows[cell // SYMBOLS], self.column[cell % SYMBOLS]].astype(np.float64), starts[:-1]))
-        return np.concatenate(out) if out else np.empty(0)
-
-
-def fit(keys: np.ndarray, counts: np.ndarray, seed: int = SEED, burn_in: int = BURN_IN, samples: int = SAMPLES, moves: int = MOVES) -> Speller:
-    """The speller of the given cells (sorted) and their customers."""
-    rng = np.random.default_rng(seed)
-    levels: list[Seating] = []
-    # From the longest context down: the tables of a level are the customers of the next.
-    for k in range(len(BITS), -1, -1):
-        s = Seating(DISCOUNT[k], STRENGTH[k], keys, counts.astype(np.int64), np.ones(len(keys), np.int64))
-        levels.insert(0, s)
-        if k:
-            keys, s.above = np.unique(parent_cells(keys, k), return_inverse=True)
-            counts = np.bincount(s.above, minlength=len(keys))
-    top = len(levels) - 1
-    seen = np.unique(levels[top].keys // SYMBOLS)
-    sums: list[np.ndarray] | None = None
-    for sweep in range(burn_in + samples):
-        for _ in range(moves):
-            p = predictive(levels[:-1])
-            for k, s in reversed(list(enumerate(levels))):
-                s.resample(_at(p[k - 1], parent_cells(s.keys, k)) if k else np.full(len(s.keys), 1.0 / SYMBOLS), rng)
-                if k:
-                    levels[k - 1].customers = np.bincount(s.above, s.tables, len(levels[k - 1].keys)).astype(np.int64)
-        if sweep >= burn_in:
-            p = predictive(levels)[-2:]
-            sums = p if sums is None else [a + b for a, b in zip(sums, p)]
-    rows = (np.arange(RESTAURANTS[top]) % RESTAURANTS[top - 1] + len(seen)).astype(np.int32)
-    rows[seen] = np.arange(len(seen))
-    used = np.unique(levels[0].keys % SYMBOLS)
-    kept = np.append(used, np.setdiff1d(np.arange(SYMBOLS), used)[:1])
-    column = np.full(SYMBOLS, len(used), np.int32)
-    column[used] = np.arange(len(used))
-    return Speller(rows, column, np.log10(np.concatenate([x[:, kept] for x in (sums[1], sums[0])]) / samples).astype(np.float32))
-
-
-def seat_words(counts: np.ndarray, logs: np.ndarray, opened: float, seed: int, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
-    """Mean number of tables over the samples, and the last one, of words with the given counts and base log10 probabilities."""
-    rng = np.random.default_rng(seed)
-    log_a = np.log(WORD_STRENGTH + WORD_DISCOUNT * opened) + logs * math.log(10)
-    drawn = [draw_tables(counts, log_a, WORD_DISCOUNT, rng) for _ in range(samples)]
-    return np.mean(drawn, axis=0), drawn[-1]
+class Seating:
+    """All cells of some words. ``word`` and ``context`` of the last level's cells are sorted; level k's cell of cell i of level k+1
+    is ``above[k][i]``."""
+
+    def __init__(self, hashes: np.ndarray, word: np.ndarray, context: np.ndarray, customers: np.ndarray, tables: list[np.ndarray] | None = None):
+        self.hashes = hashes
+        words, contexts, self.above = [word], [context], []
+        for k in range(len(BITS) - 2, -1, -1):
+            size = 1 << BITS[k]
+            keys, up = np.unique(words[0].astype(np.int64) * size + contexts[0] % size, return_inverse=True)
+            words.insert(0, keys // size)
+            contexts.insert(0, keys % size)
+            self.above.insert(0, up)
+        self.words, self.contexts = words, contexts
+        self.customers = [customers.astype(np.int64)]
+        self.tables = tables or []
+        for k in range(len(BITS) - 1, -1, -1):
+            if not tables:
+                self.tables.insert(0, np.minimum(self.customers[0], 1))
+            if k:
+                self.customers.insert(0, self._sent(k, self.tables[k] if tables else self.tables[0]))
+
+    def _sent(self, k: int, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.above[k - 1], tables, len(self.words[k - 1] if len(self.words) == len(BITS) else ())).astype(np.int64)
+
+    def totals(self) -> list[np.ndarray]:
+        """Customers of the last level's restaurants and the tables of each level's."""
+        sums = lambda k, n: np.bincount(self.contexts[k], n, 1 << BITS[k]).astype(np.int64)
+        return [sums(-1, self.customers[-1]), *(sums(k, self.tables[k]) for k in range(len(BITS)))]
+
+    def predictive(self, totals: Totals) -> list[np.ndarray]:
+        """The probability of every cell's word in its restaurant, level by level."""
+        out, base = [], np.full(len(self.words[0]), 1.0 / (totals.distinct + 1))
+        for k in range(len(BITS)):
+            if k:
+                base = out[-1][self.above[k - 1]]
+            at, d, s = self.contexts[k], DISCOUNT[k], STRENGTH[k]
+            all_, opened = totals.customers[k][at], totals.tables[k][at]
+            out.append((self.customers[k] - d * self.tables[k] + (s + d * opened) * base) / (s + all_))
+        return out
+
+    def sweep(self, totals: Totals, number: int, seed: int) -> None:
+        """Seats all customers anew, from the last level down."""
+        drawn, p = totals.drawn(number, seed), self.predictive(totals)
+        for k in range(len(BITS) - 1, -1, -1):
+            base = p[k - 1][self.above[k - 1]] if k else np.full(len(self.words[0]), 1.0 / (totals.distinct + 1))
+            u = uniforms(self.hashes[self.words[k]], self.contexts[k], k, number, seed)
+            self.tables[k] = draw_tables(self.customers[k], np.log(DISCOUNT[k] * drawn[k][self.contexts[k]] * base), DISCOUNT[k], u)
+            if k:
+                self.customers[k - 1] = self._sent(k, self.tables[k])
+
+    def averaged(self, totals: Totals, first: int, samples: int, seed: int) -> np.ndarray:
+        """The last level's probabilities, averaged over samples. A word without customers is the unknown type."""
+        total = 0.0
+        for i in range(samples):
+            self.sweep(totals, first + i, seed)
+            total = total + self.predictive(totals)[-1]
+        return total / samples
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gives neighbouring rows a common block name until their texts reach ``BLOCK_BYTES``."""
-    name, size = secrets.randbits(63), 0
-    for batch in batches:
-        names = []
-        for n in pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist():
-            if size and size + n > BLOCK_BYTES:
-                name, size = secrets.randbits(63), 0
-            names.append(name)
-            size += n
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *batch.columns], names=["block", *batch.schema.names])
+def _packed(*parts) -> bytes:
+    """Arrays and byte strings as one compressed string; whole numbers take the least width that holds them."""
+    narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0)))) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" and x.min(initial=0) >= 0 else x
+    return zstandard.compress(pickle.dumps([narrow(x) for x in parts], 5))
+
+
+def _unpacked(raw: bytes) -> list:
+    return pickle.loads(zstandard.decompress(raw))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+class Block:
+    """Texts of one block, the cells that they use, and the questions about them."""
+
+    def __init__(self, texts: list[bytes | None], held: list[bool], buckets: int):
+        ids: dict[bytes, int] = _Numbered()
+        end = ids[b""]
+        numbered = []
+        for text in texts:
+            words = (text or b"").lower().split()  # on bytes both touch ASCII only
+            words.append(b"")
+            numbered.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+        self.words = list(ids)
+        h = hashes_of(self.words)
+        bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        context = (h & np.uint64(_CELLS - 1)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        tokens = np.concatenate(numbered)
+        # Every text ends with the end, which is the context of the next one's first word.
+        before = np.concatenate(([end], tokens[:-1]))
+        sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
+        cells, place = np.unique(rank[tokens] * _CELLS + context[before], return_inverse=True)
+        counts = np.bincount(place, np.repeat(~np.asarray(held, bool), sizes), len(cells)).astype(np.int64)
+        self.places = np.split(place, np.cumsum(sizes)[:-1])
+        self.questions = []
+        found, first = np.unique(bucket[order], return_index=True)
+        cut = np.searchsorted(cells, np.append(first, len(order)) * _CELLS)
+        for i, b in enumerate(found.tolist()):
+            part = slice(cut[i], cut[i + 1])
+            stop = first[i + 1] if i + 1 < len(first) else len(order)
+            own = [self.words[j] for j in order[first[i] : stop]]
+            per = np.bincount(cells[part] // _CELLS - first[i], minlength=len(own))
+            self.questions.append((b, _packed(b"\n".join(own), per, cells[part] % _CELLS, counts[part])))
+
+
+class _Numbered(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _question(raw: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the word of each cell, its context and its training count."""
+    blob, per, context, counts = _unpacked(raw)
+    return blob.split(b"\n"), np.repeat(np.arange(len(per)), per), context.astype(np.int64), counts.astype(np.int64)
+
+
+def _blocks(kind: pa.DataType, buckets: int, block_bytes: int):
+    """(key, held_out, text) to rows of texts (bucket null, payload: places) and of questions (bucket, payload)."""
+    names = ["block", "bucket", "seq", "key", "held_out", "payload"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, keys, held, texts, size = 0, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            b = Block(texts, held, buckets)
+            n, m = len(keys), len(b.questions)
+            number = (TaskContext.get().partitionId() << 32) + made
+            columns = [
+                pa.array([number] * (n + m), pa.int64()), pa.array([None] * n + [q[0] for q in b.questions], pa.int32()), pa.array([*range(n), *[None] * m], pa.int64()),
+                pa.array([*keys, *[None] * m], kind), pa.array([*held, *[None] * m], pa.bool_()), pa.array([_packed(x) for x in b.places] + [q[1] for q in b.questions], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, training count) for the distinct words of each stretch of a block; the end is the empty word."""
-    block, words, others = None, Counter(), set()
+        for batch in batches:
+            for key, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if texts and size + len(text or b"") > block_bytes:
+                    yield flush()
+                    made, keys, held, texts, size = made + 1, [], [], [], 0
+                keys.append(key)
+                held.append(h)
+                texts.append(text)
+                size += len(text or b"")
+        if texts:
+            yield flush()
 
-    def out() -> pa.RecordBatch:
-        rest = [w for w in others if w not in words]
-        n = [*words.values(), *(0 for _ in rest)]
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int64()), pa.array([*words, *rest], pa.binary()), pa.array(n, pa.int64())], names=["block", "word", "n"])
+    return run
 
-    for batch in batches:
-        for name, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if name != block:
-                if block is not None:
-                    yield out()
-                block, words, others = name, Counter(), set()
-            found = (text or b"").lower().split()
-            found.append(b"")
-            if held:
-                others.update(found)
-            else:
-                words.update(found)
-    if block is not None:
-        yield out()
-
-
-def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, tables) to (cell, customers)."""
-    for batch in batches:
-        words, tables = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        cell, starts = cells(words)
-        found, at = np.unique(cell, return_inverse=True)
-        n = np.bincount(at, np.repeat(tables, np.diff(starts)), len(found)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
+class _Counted:
+    """Sums of the questions of one bucket; memory follows its distinct cells, not its blocks."""
 
-def train_speller(tables: DataFrame, seed: int = SEED) -> Speller:
-    """The speller of words (column 1) with so many tables each (column 2)."""
-    summed = tables.mapInArrow(_cell_counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = summed.toArrow()  # bounded by the speller's restaurants, whatever the corpus
-    keys, counts = got["cell"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(keys)
-    return fit(keys[order], counts[order], seed)
+    def __init__(self):
+        self.ids, self.keys, self.counts, self.size = _Numbered(), [], [], 0
 
+    def add(self, raw: bytes) -> None:
+        words, at, context, counts = _question(raw)
+        own = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        self.keys.append(own[at] * _CELLS + context)
+        self.counts.append(counts)
+        self.size += len(counts)
+        if self.size > _PENDING and len(self.keys) > 2:
+            self.sum()
 
-def _seated(speller, opened: float, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            mean, last = seat_words(batch.column(1).to_numpy(), speller.value.logs(words), opened, seed ^ xxhash.xxh32_intdigest(words[0] if words else b""))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mean), pa.array(last)], names=["word", "c", "tables", "last"])
+    def sum(self) -> None:
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        self.keys, self.counts = [keys], [np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)]
+        # Sums wait until as much again has come.
+        self.size = -len(keys)
 
-    return run
+    def state(self) -> tuple[list[bytes], Seating]:
+        self.sum()
+        words = list(self.ids)
+        return words, Seating(hashes_of(words), self.keys[0] // _CELLS, self.keys[0] % _CELLS, self.counts[0])
+
+
+def _kept(words: list[bytes], s: Seating) -> bytes:
+    return _packed(b"\n".join(words), np.bincount(s.words[-1], minlength=len(words)), s.contexts[-1], s.customers[-1], *s.tables)
+
+
+def _restored(raw: bytes) -> tuple[list[bytes], Seating]:
+    blob, per, context, customers, *tables = _unpacked(raw)
+    words = blob.split(b"\n")
+    return words, Seating(hashes_of(words), np.repeat(np.arange(len(per)), per), context.astype(np.int64), customers, [t.astype(np.int64) for t in tables])
 
 
-def _spelt(speller):
-    """The speller's probability of each batch of words, summed."""
+_STATE = "bucket int, payload binary, totals binary, distinct bigint"
 
+
+def _state_rows(rows: list[tuple[int, list[bytes], Seating]]) -> pa.RecordBatch:
+    known = [int((np.bincount(s.words[-1], s.customers[-1], len(w)) > 0).sum()) for _, w, s in rows]
+    columns = [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_kept(w, s) for _, w, s in rows], pa.binary()), pa.array([_packed(*s.totals()) for _, _, s in rows], pa.binary()), pa.array(known, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "payload", "totals", "distinct"])
+
+
+def _first_seating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Questions, sorted by bucket, to the start: a table for every cell."""
+    bucket, counted = None, None
+    for batch in batches:
+        for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if b != bucket:
+                if counted:
+                    yield _state_rows([(bucket, *counted.state())])
+                bucket, counted = b, _Counted()
+            counted.add(raw)
+    if counted:
+        yield _state_rows([(bucket, *counted.state())])
+
+
+def _swept(totals, number: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([float((10.0 ** speller.value.logs(batch.column(0).to_pylist())).sum())])], names=["p"])
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, s = _restored(raw)
+                s.sweep(totals.value, number, seed)
+                yield _state_rows([(b, words, s)])
 
     return run
 
 
-def _probabilities(speller, tokens: int, opened: float, unknown: float):
+def _task_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task, one row a restaurant."""
+    sums, distinct = None, 0
+    for batch in batches:
+        for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.concatenate([x.astype(np.int64) for x in _unpacked(raw)])
+            sums, distinct = own if sums is None else sums + own, distinct + n
+    if sums is not None:
+        sums = np.append(sums, distinct)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "n"])
+
+
+def totals_of(state: DataFrame) -> Totals:
+    """Sums over all buckets. A row a restaurant is collected, whatever the corpus."""
+    found = state.select("totals", "distinct").mapInArrow(_task_totals, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sizes = [_CELLS, *(1 << b for b in BITS)]
+    all_ = np.zeros(sum(sizes) + 1, np.int64)
+    all_[found["at"].to_numpy()] = found["n"].to_numpy()
+    parts = np.split(all_, np.cumsum(sizes))
+    customers, tables = [parts[0]], list(parts[1:-1])
+    for k in range(len(BITS) - 1, 0, -1):
+        customers.insert(0, np.bincount(np.arange(1 << BITS[k]) % (1 << BITS[k - 1]), tables[k], 1 << BITS[k - 1]).astype(np.int64))
+    return Totals(customers, tables, int(parts[-1][0]))
+
+
+def _answers(totals, first: int, samples: int, seed: int):
+    """Rows sorted by bucket, its state before its questions, to (block, bucket, payload: training count and probability of the
+    question's cells)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, counts, p = None, None, None, None
         for batch in batches:
-            c, t = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            base = np.where(c > 0, 10.0 ** speller.value.logs(batch.column(0).to_pylist()), unknown)
-            p = (np.where(c > 0, c - WORD_DISCOUNT * t, 0.0) + (WORD_STRENGTH + WORD_DISCOUNT * opened) * base) / (WORD_STRENGTH + tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(p))], names=["word", "c", "p"])
+            out = []
+            for block, bucket, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if block is None:
+                    words, s = _restored(raw)
+                    ids = {w: i for i, w in enumerate(words)}
+                    keys, counts = s.words[-1] * _CELLS + s.contexts[-1], np.bincount(s.words[-1], s.customers[-1], len(words)).astype(np.int64)
+                    p = s.averaged(totals.value, first, samples, seed).astype(np.float32)
+                    continue
+                words, at, context, _ = _question(raw)
+                own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))[at]
+                out.append((block, bucket, _packed(counts[own], p[np.searchsorted(keys, own * _CELLS + context)])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "payload"])
 
     return run
 
 
-def _scored(tokens: int, distinct: int, answers: str, key: str):
-    """Body of the last pass: texts and the answers for their block's words to scores."""
+def _scored(tokens: int, distinct: int, key: str, kind: pa.DataType):
+    """Rows sorted by block, its answers in order of their buckets before its texts, to scores."""
     floor = math.log10(tokens + distinct + 1)
-
-    def load(block: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        system, root = pafs.FileSystem.from_uri(answers if "://" in answers else f"file://{answers}")
-        found = dataset(f"{root}/bucket={block % BUCKETS}", filesystem=system, format="parquet").to_table(["word", "c", "p"], filter=pyarrow.compute.field("block") == block)
-        return {w: i for i, w in enumerate(found["word"].to_pylist())}, found["c"].to_numpy(), found["p"].to_numpy()
+    kinds = (kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        block, parts, known = None, [], None
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(3)):
+            out = []
+            for name, bucket, k, held, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != block:
-                    place, c, p = load(name)
-                    block, known, base = name, c > 0, np.log10(c + 1.0) - floor
-                words = (text.as_py() or b"").lower().split()
-                words.append(b"")
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                rows.append((len(words), int(known[at].sum()), tokens, float(base[at].sum()), float(p[at].sum())))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    block, parts, known = name, [], None
+                if bucket is not None:
+                    parts.append(_unpacked(raw))
+                    continue
+                if known is None:
+                    c = np.concatenate([x[0].astype(np.int64) for x in parts])
+                    p = np.log10(np.concatenate([x[1] for x in parts]).astype(np.float64))
+                    known, base, parts = c > 0, np.log10(c + 1.0) - floor, []
+                at = _unpacked(raw)[0]
+                out.append((k, held, len(at), int(known[at].sum()), tokens, float(base[at].sum()), float(p[at].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds)], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -418,37 +476,39 @@ def perplexity(log10: float, n_tokens: int) -> float:
     return 10 ** (-log10 / max(1, n_tokens))
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, burn_in: int = BURN_IN, samples: int = SAMPLES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
     context = docs.sparkSession.sparkContext
     source = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).cast("binary").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
+    arrow = _arrow_type(source)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # A bucket holds about as many cells as a block.
+    buckets = max(8, -(-size // block_bytes))
     # Blocks are named once, when they are written; all later passes read those names.
-    blocks = written(source.mapInArrow(_blocks, f"block bigint, key {kind}, held_out boolean, text binary"), "blocks")
-    asked = written(blocks.select("block", "held_out", "text").mapInArrow(_requests, "block bigint, word binary, n bigint"), "asked")
-    vocabulary = written(asked.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    sums = vocabulary.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, distinct = int(sums[0]), int(sums[1])
-    seated, opened = vocabulary.select("word", "c", F.lit(1.0).alias("tables"), F.lit(1).cast("bigint").alias("last")), float(distinct)
-    for turn in range(ROUNDS):
-        speller = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + turn))
-        # As in the speller, a gamma variate of the restaurant's tables makes the words independent.
-        drawn = np.random.default_rng(seed + turn).gamma(WORD_STRENGTH / WORD_DISCOUNT + opened) - WORD_STRENGTH / WORD_DISCOUNT
-        seated = written(vocabulary.mapInArrow(_seated(speller, float(drawn), seed + turn), "word binary, c bigint, tables double, last bigint"), "seated")
-        speller.destroy()
-        opened = float(seated.filter("c > 0").agg(F.coalesce(F.sum("tables" if turn == ROUNDS - 1 else "last"), F.lit(0)).cast("double")).first()[0])
-    last = context.broadcast(train_speller(seated.filter("c > 0").select("word", "last"), seed + ROUNDS))
-    # All words that no training text has are one type, with what the speller leaves to them.
-    spelt = seated.filter("c > 0").select("word").mapInArrow(_spelt(last), "p double").agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
-    unknown = max(1.0 - spelt, 1e-9)
-    chances = seated.mapInArrow(_probabilities(last, tokens, opened, unknown), "word binary, c bigint, p double")
-    # Answers lie in the shared folder by block, so the texts need not be shuffled to meet them.
-    answers = fresh_path(docs.sparkSession, "answers")
-    met = asked.select("block", "word").distinct().join(chances, "word").withColumn("bucket", F.col("block") % BUCKETS)
-    met.repartition("bucket", "block").sortWithinPartitions("bucket", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(answers)
-    last.destroy()
-    body = _scored(tokens, distinct, answers, key)
-    return blocks.mapInArrow(body, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    rows = written(source.mapInArrow(_blocks(arrow, buckets, block_bytes), f"block bigint, bucket int, seq bigint, key {kind}, held_out boolean, payload binary"), "blocks")
+    questions = rows.filter("bucket is not null")
+    by_bucket = lambda df, *then: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
+    state = written(by_bucket(questions.select("bucket", "payload")).mapInArrow(_first_seating, _STATE), "seating")
+    totals = totals_of(state)
+    for number in range(burn_in):
+        shared = context.broadcast(totals)
+        state = written(state.select("bucket", "payload").mapInArrow(_swept(shared, number, seed), _STATE), "seating")
+        shared.destroy()
+        totals = totals_of(state)
+    tokens = int(totals.customers[-1].sum())
+    asked = questions.select("block", "bucket", "payload").unionByName(state.select(F.lit(None).cast("bigint").alias("block"), "bucket", "payload"))
+    answers = by_bucket(asked, F.col("block").asc_nulls_first()).mapInArrow(_answers(context.broadcast(totals), burn_in, samples, seed), "block bigint, bucket int, payload binary")
+    texts = rows.filter("bucket is null").select("block", "bucket", "seq", "key", "held_out", "payload")
+    both = texts.unionByName(answers, allowMissingColumns=True).repartition(buckets, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last(), "seq")
+    body = _scored(tokens, totals.distinct, key, arrow)
+    return both.select("block", "bucket", "key", "held_out", "payload").mapInArrow(body, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _arrow_type(source: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(source.schema["key"].dataType)
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

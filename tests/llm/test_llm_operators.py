@@ -315,16 +315,116 @@ def test_pitman_yor_held_out_beats_the_base(spark):
     assert pitman_yor.perplexity(r[0], r[2]) < pitman_yor.perplexity(r[1], r[2])
 
 
-def test_speller_is_a_distribution():
-    words = [b"the", b"then", b"thing", b"", b"\xc3\xa9t\xc3\xa9"] * 20
-    keys, n = np.unique(pitman_yor.cells(words)[0], return_counts=True)
-    speller = pitman_yor.fit(keys, n)
-    every = 10.0 ** speller.table[:, speller.column].astype(float)
-    assert every.shape[1] == pitman_yor.SYMBOLS and np.allclose(every.sum(axis=1), 1, atol=1e-4)
-    logs = speller.logs([b"the", b"xyzzy", b""])
-    assert logs[0] > logs[1] and np.isfinite(logs).all()
-    mean, last = pitman_yor.seat_words(np.array([1, 2, 500, 0]), np.array([-3.0, -1.0, -2.0, -9.0]), 50.0, 1)
-    assert mean[0] == last[0] == 1 and 1 <= mean[2] <= 500 and last[3] == 0
+def by_customers(tokens, contexts, sweeps, burn_in, seed):
+    """The model by its definition: every customer leaves and sits down again, one by one. tokens: (context word's value, word)."""
+    rng = random.Random(seed)
+    D, S = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    masks = [(1 << b) - 1 for b in pitman_yor.BITS]
+    seats = {}  # (level, restaurant, word): customers of each table
+    total, distinct = Counter(), len({w for _, w in tokens})
+
+    def p(level, at, w):
+        if level < 0:
+            return 1 / (distinct + 1)
+        r = at & masks[level]
+        own = seats.get((level, r, w), [])
+        n, t = total[level, r, "c"], total[level, r, "t"]
+        return (sum(own) - D[level] * len(own) + (S[level] + D[level] * t) * p(level - 1, at, w)) / (S[level] + n)
+
+    def sit(level, at, w):
+        if level < 0:
+            return
+        r = at & masks[level]
+        own = seats.setdefault((level, r, w), [])
+        opened = (S[level] + D[level] * total[level, r, "t"]) * p(level - 1, at, w)
+        k = rng.choices(range(len(own) + 1), [x - D[level] for x in own] + [opened])[0]
+        total[level, r, "c"] += 1
+        if k < len(own):
+            own[k] += 1
+        else:
+            own.append(1)
+            total[level, r, "t"] += 1
+            sit(level - 1, at, w)
+
+    def leave(level, at, w):
+        if level < 0:
+            return
+        r = at & masks[level]
+        own = seats[level, r, w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        total[level, r, "c"] -= 1
+        if not own[k]:
+            own.pop(k)
+            total[level, r, "t"] -= 1
+            leave(level - 1, at, w)
+
+    for at, w in tokens:
+        sit(len(D) - 1, at, w)
+    sums = Counter()
+    for i in range(sweeps):
+        for at, w in tokens:
+            leave(len(D) - 1, at, w)
+            sit(len(D) - 1, at, w)
+        if i >= burn_in:
+            for at, w in contexts:
+                sums[at, w] += p(len(D) - 1, at, w)
+    return {k: v / (sweeps - burn_in) for k, v in sums.items()}
+
+
+def test_pitman_yor_by_single_customers(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(25)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(25)], k=40)) for _ in range(40)] + ["w0 w1 w2 w3 w4 w5"] * 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pitman_yor.score(df, samples=40).collect()}
+    value = {w: int(pitman_yor.hashes_of([w.encode()])[0]) & 4095 for w in ["", *vocabulary]}
+    pairs = lambda t: [(value[a], b) for a, b in zip(["", *t.split()], [*t.split(), ""])]
+    train = [x for k, t in enumerate(texts) if not got[k].held_out for x in pairs(t)]
+    p = by_customers(train, {x for t in texts for x in pairs(t)}, 60, 20, 1)
+    for k, t in enumerate(texts):
+        assert abs(got[k].score - sum(math.log10(p[x]) for x in pairs(t))) < 0.05 * got[k].n_tokens
+
+
+def test_pitman_yor_reads_the_order_and_not_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    turned = docs.filter("doc_id < 20").select((F.col("doc_id") + 10**6).alias("doc_id"), F.array_join(F.array_sort(F.split("text", " ")), " ").alias("text"))
+    both = docs.unionByName(turned)
+    one = {r.doc_id: r.score for r in pitman_yor.score(both.coalesce(1)).collect()}
+    # Other partitions, other blocks, other buckets: the same numbers to the last bit but for the order of a sum.
+    other = {r.doc_id: r.score for r in pitman_yor.score(both.repartition(5), block_bytes=50_000).collect()}
+    assert one.keys() == other.keys() and all(math.isclose(one[k], other[k], rel_tol=1e-12) for k in one)
+    assert any(abs(one[k] - one[k + 10**6]) > 1 for k in range(20) if k in one)
+
+
+def test_pitman_yor_tells_twins(spark):
+    rng = random.Random(9)
+    weights = [1 / (i + 3) for i in range(5000)]
+    texts = [" ".join(f"w{i}" for i in rng.choices(range(5000), weights, k=120)) for _ in range(600)]
+    texts += texts[:60]
+    rows = [r for r in pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() if not r.held_out]
+    twice = {t for t in texts if sum(texts[r.doc_id] == t for r in rows) > 1}
+    double, single = ([r.score for r in rows if (texts[r.doc_id] in twice) == x] for x in (True, False))
+    assert len(double) > 60 and min(double) > sorted(single)[-len(single) // 100]
+
+
+def test_predictions_of_a_restaurant_sum_to_one():
+    rng = np.random.default_rng(8)
+    words = [b"w%d" % i for i in range(50)]
+    word, context = np.divmod(np.arange(50 * 4096), 4096)
+    counts = np.where(rng.random(50 * 4096) < 0.02, rng.integers(1, 60, 50 * 4096), 0)
+    s = pitman_yor.Seating(pitman_yor.hashes_of(words), word, context, counts)
+    for number in range(2):
+        own = s.totals()
+        t = pitman_yor.Totals([np.array([own[2].sum()]), np.bincount(np.arange(4096) % 64, own[3], 64), own[0]], own[1:], 50)
+        assert all((a.tables[k] <= a.customers[k]).all() and ((a.tables[k] > 0) == (a.customers[k] > 0)).all() for a in [s] for k in range(3))
+        p = s.predictive(t)[-1].reshape(50, 4096).sum(axis=0)
+        # What is left over is the unknown type's.
+        rest = 1 / 51
+        for k, at in ((0, np.zeros(4096, int)), (1, np.arange(4096) % 64), (2, np.arange(4096))):
+            rest = (1 + pitman_yor.DISCOUNT[k] * t.tables[k][at]) / (1 + t.customers[k][at]) * rest
+        assert np.allclose(p + rest, 1)
+        s.sweep(t, number, 1)
 
 
 def test_tables_of_a_cell_are_drawn_whole():
@@ -341,9 +441,9 @@ def test_tables_of_a_cell_are_drawn_whole():
         p /= p.sum()
         mean = (p * np.arange(c + 2)).sum()
         spread = math.sqrt((p * (np.arange(c + 2) - mean) ** 2).sum())
-        got = pitman_yor.draw_tables(np.full(1000, c), np.full(1000, math.log(a)), d, rng)
+        got = pitman_yor.draw_tables(np.full(1000, c), np.full(1000, math.log(a)), d, rng.random(1000))
         assert abs(got.mean() - mean) < 5 * spread / math.sqrt(1000) and abs(got.std() / spread - 1) < 0.15
-    # A word of many customers: one sample is all but independent of the next.
-    few = [pitman_yor.seat_words(np.array([200_000]), np.array([-2.0]), 5e4, s)[1][0] for s in range(40)]
-    mean = pitman_yor.seat_words(np.array([200_000]), np.array([-2.0]), 5e4, 99, samples=60)[0][0]
-    assert abs(np.mean(few) - mean) < 5 * np.std(few) / math.sqrt(40)
+    # What a cell draws does not depend on the cells beside it.
+    c, u = rng.integers(0, 3000, 500), rng.random(500)
+    whole = pitman_yor.draw_tables(c, np.full(500, 0.3), 0.7, u)
+    assert whole.tolist() == [int(pitman_yor.draw_tables(c[i : i + 1], np.full(1, 0.3), 0.7, u[i : i + 1])[0]) for i in range(500)]
