@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -17,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a session whose tasks run in the driver's own
+    process, as in tests, gets a temporary one where it names none; any other is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = getattr(spark, "_hopwright_shared", None)
     if made is None:
         made = f"file://{tempfile.mkdtemp(prefix='hopwright-')}"
@@ -29,7 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
+#: Every path handed out, by context.
+_made: dict[int, list[str]] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +48,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later step reads."""
+    if path := getattr(df, "stored_at", None):
+        _delete(df.sparkSession, path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets the session's cleaner drop the shuffle files of steps whose results are written; it waits for the driver's collector."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this session; results that were not yet read are lost with them."""
+    for path in _made.pop(id(spark.sparkContext), []):
+        _delete(spark, path)
 
 
 def let(value: Column, body) -> Column:

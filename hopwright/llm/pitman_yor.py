@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, written
+from hopwright.llm.common import discard, release_shuffles, table, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the context word's hash at each level, from the restaurant without context up; each level's bits begin the next one's.
@@ -55,7 +55,9 @@ BURN_IN, SAMPLES = 3, 3
 #: Customers up to which Stirling numbers are tabled.
 EXACT = 1024
 SEED = 11
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Answers are rounded to this part of a log10.
+STEP = 1 / 2048
 _PIECE = 1 << 15
 _CELLS = 1 << BITS[-1]
 #: Counts of a bucket that are held before they are summed.
@@ -234,13 +236,21 @@ def held_out(key: Column) -> Column:
 
 
 def _packed(*parts) -> bytes:
-    """Arrays and byte strings as one compressed string; whole numbers take the least width that holds them."""
-    narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0)))) if isinstance(x, np.ndarray) and x.dtype.kind in "iu" and x.min(initial=0) >= 0 else x
-    return zstandard.compress(pickle.dumps([narrow(x) for x in parts], 5))
+    """Arrays of whole numbers from 0 on, in the least width that holds them, and byte strings as one compressed string."""
+
+    def planes(x):
+        """Bytes of equal weight side by side compress better."""
+        if not isinstance(x, np.ndarray):
+            return x
+        narrow = np.ascontiguousarray(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
+        return narrow.dtype.str, narrow.view(np.uint8).reshape(-1, narrow.dtype.itemsize).T.tobytes()
+
+    return zstandard.compress(pickle.dumps([planes(x) for x in parts], 5))
 
 
 def _unpacked(raw: bytes) -> list:
-    return pickle.loads(zstandard.decompress(raw))
+    back = lambda kind, own: np.ascontiguousarray(np.frombuffer(own, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return [back(*x) if isinstance(x, tuple) else x for x in pickle.loads(zstandard.decompress(raw))]
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
@@ -271,7 +281,8 @@ class Block:
         sizes = np.fromiter(map(len, numbered), np.int64, len(numbered))
         cells, place = np.unique(rank[tokens] * _CELLS + context[before], return_inverse=True)
         counts = np.bincount(place, np.repeat(~np.asarray(held, bool), sizes), len(cells)).astype(np.int64)
-        self.places = np.split(place, np.cumsum(sizes)[:-1])
+        self.places = np.split(place.astype(np.uint32), np.cumsum(sizes)[:-1])
+        del tokens, before, place, numbered
         self.questions = []
         found, first = np.unique(bucket[order], return_index=True)
         cut = np.searchsorted(cells, np.append(first, len(order)) * _CELLS)
@@ -424,8 +435,8 @@ def totals_of(state: DataFrame) -> Totals:
 
 
 def _answers(totals, first: int, samples: int, seed: int):
-    """Rows sorted by bucket, its state before its questions, to (block, bucket, payload: training count and probability of the
-    question's cells)."""
+    """Rows sorted by bucket, its state before its questions, to (block, bucket, payload: the training counts of the
+    question's words, how many cells each has, and the probabilities of the cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, counts, p = None, None, None, None
@@ -436,11 +447,12 @@ def _answers(totals, first: int, samples: int, seed: int):
                     words, s = _restored(raw)
                     ids = {w: i for i, w in enumerate(words)}
                     keys, counts = s.words[-1] * _CELLS + s.contexts[-1], np.bincount(s.words[-1], s.customers[-1], len(words)).astype(np.int64)
-                    p = s.averaged(totals.value, first, samples, seed).astype(np.float32)
+                    p = np.rint(-np.log10(s.averaged(totals.value, first, samples, seed)) / STEP).astype(np.int64)
+                    del s, words
                     continue
                 words, at, context, _ = _question(raw)
-                own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))[at]
-                out.append((block, bucket, _packed(counts[own], p[np.searchsorted(keys, own * _CELLS + context)])))
+                own = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+                out.append((block, bucket, _packed(counts[own], np.bincount(at, minlength=len(own)), p[np.searchsorted(keys, own[at] * _CELLS + context)])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["block", "bucket", "payload"])
 
     return run
@@ -462,8 +474,8 @@ def _scored(tokens: int, distinct: int, key: str, kind: pa.DataType):
                     parts.append(_unpacked(raw))
                     continue
                 if known is None:
-                    c = np.concatenate([x[0].astype(np.int64) for x in parts])
-                    p = np.log10(np.concatenate([x[1] for x in parts]).astype(np.float64))
+                    c = np.concatenate([np.repeat(x[0], x[1]) for x in parts])
+                    p = np.concatenate([x[2] for x in parts]) * -STEP
                     known, base, parts = c > 0, np.log10(c + 1.0) - floor, []
                 at = _unpacked(raw)[0]
                 out.append((k, held, len(at), int(known[at].sum()), tokens, float(base[at].sum()), float(p[at].sum())))
@@ -493,9 +505,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     totals = totals_of(state)
     for number in range(burn_in):
         shared = context.broadcast(totals)
-        state = written(state.select("bucket", "payload").mapInArrow(_swept(shared, number, seed), _STATE), "seating")
+        before, state = state, written(state.select("bucket", "payload").mapInArrow(_swept(shared, number, seed), _STATE), "seating")
         shared.destroy()
+        discard(before)
         totals = totals_of(state)
+    release_shuffles(docs.sparkSession)
     tokens = int(totals.customers[-1].sum())
     asked = questions.select("block", "bucket", "payload").unionByName(state.select(F.lit(None).cast("bigint").alias("block"), "bucket", "payload"))
     answers = by_bucket(asked, F.col("block").asc_nulls_first()).mapInArrow(_answers(context.broadcast(totals), burn_in, samples, seed), "block bigint, bucket int, payload binary")

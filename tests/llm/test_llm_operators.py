@@ -258,12 +258,52 @@ def test_site_template_in_articles(spark):
 
 
 def test_site_template_hashes_hold_whole_blocks():
-    inside = lambda html: {t: len(h) for t, _, h in site_template.blocks(html)}
+    def inside(html):
+        p = site_template.read_page(html)
+        depth = lambda e: 0 if e < 0 else 1 + depth(p.up[e])
+        return {t: depth(e) for t, e in zip(p.texts, p.within)}
+
     # A bold word is not the paragraph, even when its end tag is missing; a link that stands alone is its block.
     assert inside("<div>some <b>bold</b> words</div>") == inside("<div>some <b>bold words</div>") == {k: 1 for k in ["some bold words"]}
     assert inside("<div><a>link</a><p>text</p></div>") == {"link": 2, "text": 2}
 
 
+def test_site_template_by_plain_counting(spark):
+    rng = random.Random(4)
+    parts = [f"<ul class='c{i}'><li><a>link {i}</a><li>more {i}</ul>" for i in range(6)] + [f"<p>sentence {i} of the house</p>" for i in range(6)]
+    rows = []
+    for i in range(120):
+        host, often = f"h{i % 3}.example", [0.2, 0.6, 0.95]
+        own = "".join(x for k, x in enumerate(parts) if rng.random() < often[k % 3])
+        rows.append((i, f"http://{host}/{i}", f"<body>{own}<article><h1>T {i}</h1>{own}<p>body {i}</p></article><p>beside {i}</p></body>"))
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = [(u.split("/")[2], site_template.read_page(h)) for _, u, h in rows]
+    total, n = Counter(h for h, _ in pages), Counter((h, x) for h, p in pages for x in set(p.hashes))
+    drop = {(h, x) for (h, x), c in n.items() if c >= 10 and c > (0.8 if x % 2 else 0.5) * total[h]}
+    want = sorted((i, p.main_text({x for g, x in drop if g == h})) for (i, _, _), (h, p) in zip(rows, pages))
+    assert len(drop) > 20
+    for few in (10**6, 0):  # by broadcast and by salt
+        assert sorted((r.page_id, r.text) for r in site_template.extract(df, broadcast_rows=few).collect()) == want
+
+
+def test_names_that_only_mention_a_sidebar_keep_their_text():
+    for html in ('<div class="has-sidebar"><p>body</p></div>', '<div id="page" class="header-fixed"><p>body</p></div>', '<div class="elementor-widget-text-editor"><p>body</p></div>', '<article><div class="related-work"><p>body</p></div></article>'):
+        assert site_template.main_text(html) == "body"
+    for name in ("sidebar", "site-header", "ad-slot-3", "post-comments", "commentList", "cookie-consent", "menu-item-12", "side-bar"):
+        assert site_template.main_text(f'<div class="{name}">no</div><p>yes</p>') == "yes"
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for html in ("<a " * 350_000, '<a "' + '<b>"<c "' * 100_000, "<div>" * 200_000 + "deep", "<p>" * 200_000, "<b>" * 100_000 + "</p>" * 100_000, "<" * 1_000_000, "<div><b>x" * 50_000):
+        site_template.main_text(html)
+    assert time.time() - began < 20
+    assert site_template.main_text("<p>" + "long words " * 300_000) == ("long words " * 300_000).strip()
+
+
 def test_warc_round_trip(spark):
     df = spark.createDataFrame(PAGES + [(9, "u\n v", "<p>two</p><div>same</div>"), (8, "é", "Ünïcode 🙂" * 1000)], "page_id bigint, url string, html string").withColumn("kind", F.lit(1))
     folder = warc_zstd.fresh_path(spark, "warc-test")
