@@ -3,18 +3,19 @@
 A fingerprint of 64 bits is cut into 3 segments. Two fingerprints that differ in at most 4 bits have a segment in which
 they differ in at most one bit: were it two in each, it would be six. Every segment is indexed once as it is and once per
 bit with that bit replaced by a wildcard, and an equality join of those signatures gives every candidate; candidates are
-verified on all 64 bits. A signature holds its bit's value besides, so that a pair with an equal segment meets once there
-and not once per wildcard.
+verified on all 64 bits. A pair with an equal segment meets under each of that segment's signatures.
 
 One index row stands for each distinct fingerprint, however many documents share it. Within a signature the fingerprints
 are compared with vectors of 64-bit integers and only the edges of a spanning forest leave the task, so a large group of
 near copies makes as many rows as it has members. A signature with more than ``HEAVY`` fingerprints is refined: there, the
 remaining 43 bits are again cut into 3 segments with wildcards, which loses no pair, as a pair may differ in them by 4 bits
-at most; what is left of such groups is compared in blocks.
+at most. What is still crowded is dealt into parts of about ``HEAVY`` and every two parts meet under a key of their own: all pairs
+are compared, by as many tasks as it takes.
 
-Null and empty texts have fingerprint zero, linked like any other. Texts are read whole. Repeated rows share a component; a
-null key takes part and gets the component of its text's group (null if all its keys are null). An empty table gives an empty
-result; columns of the input beyond key and text are not read.
+Null and empty texts have fingerprint zero, linked like any other. Texts are read whole, whatever their length. A bit that is set
+in just half the hashes is 0. Repeated rows share a component; a null key takes part and gets the component of its text's group
+(null if all its keys are null). An empty table gives an empty result; columns of the input beyond key and text are not read and
+may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, written
+from hopwright.llm.common import table, unused, written
 from hopwright.llm.components import connected
 
 SHINGLE = 4
@@ -37,6 +38,9 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 HEAVY = 2048
 _CHUNK = 1 << 15
+_HELD = 1 << 19
+#: Documents whose distinct fingerprints one task indexes.
+_A_TASK = 20_000
 
 
 def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
@@ -166,7 +170,7 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by signature to forest edges. Whole signatures are compared a bounded number of rows at a time."""
+    """Rows sorted by signature to forest edges. Whole signatures are compared, some ``_HELD`` rows at a time."""
     names = ["u", "v"]
     held: list[pa.RecordBatch] = []
     size = 0
@@ -182,34 +186,80 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
-        if size >= 1 << 19:
+        if size >= _HELD:
             edges, held, size = pack(False)
             yield edges
     if size:
         yield pack(True)[0]
 
 
+def _crowded(rows: DataFrame, heavy: int) -> DataFrame:
+    """(sig, parts) of the signatures of more than ``heavy`` rows."""
+    counts = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy)
+    return written(counts.select("sig", F.ceil(F.col("n") / heavy).cast("int").alias("parts")), "heavy-signatures")
+
+
+def _in_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of crowded signatures once for each pair of parts that theirs belongs to, under a key of that pair. A chance collision of
+    keys only adds candidates to verify."""
+    own = rows.join(crowded, "sig").withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    each = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return each.select(F.xxhash64("sig", F.least("p", "q"), F.greatest("p", "q")).alias("sig"), "fp")
+
+
 def near_links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints in column ``fp`` as all pairs within 4 bits would."""
-    index = distinct.select("fp").mapInArrow(_indexed, "sig bigint, fp bigint")
-    crowded = written(index.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("sig"), "heavy-signatures")
     compare = lambda rows: rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_compared, "u bigint, v bigint")
+    index = distinct.select("fp").mapInArrow(_indexed, "sig bigint, fp bigint")
+    crowded = _crowded(index, heavy)
     if crowded.isEmpty():
         return compare(index)
     light = compare(index.join(crowded, "sig", "left_anti"))
-    dense = compare(index.join(crowded, "sig", "left_semi").mapInArrow(_refined, "sig bigint, fp bigint"))
-    return light.unionByName(dense)
+    refined = index.join(crowded, "sig", "left_semi").mapInArrow(_refined, "sig bigint, fp bigint")
+    still = _crowded(refined, heavy)
+    if still.isEmpty():
+        return light.unionByName(compare(refined))
+    return light.unionByName(compare(refined.join(still, "sig", "left_anti"))).unionByName(compare(_in_parts(refined, still)))
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, root): the least fingerprint that links lead to, for each distinct fingerprint of ``prints``."""
+    spark = prints.sparkSession
+    # The index is many times its fingerprints; without a number of its own it would be made by the few tasks that these fill.
+    parts = max(spark.sparkContext.defaultParallelism, prints.count() // _A_TASK)
+    members = prints.select("fp").distinct().repartition(parts, "fp")
+    roots = written(connected(near_links(members)), "components")
+    return members.join(roots, members["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp and component_id: the smallest key that links lead to."""
     prints = written(fingerprints(docs, key, text), "fingerprints")
-    members = prints.groupBy("fp").agg(F.min(key).alias("__least"))
-    roots = written(connected(near_links(members)), "components")
-    named = members.join(roots, members["fp"] == roots["node"], "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
-    smallest = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    classes = named.join(smallest, "__root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(key, "fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min(key).alias("__least"))
+    named = least.join(classes(prints), "fp")
+    # Summed before and after: a root has as many rows here as distinct fingerprints.
+    smallest = named.groupBy("root").agg(F.min("__least").alias("component_id"))
+    found = named.join(smallest, "root").select("fp", "component_id")
+    return prints.join(found, "fp").select(key, "fp", "component_id")
+
+
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest key (a null key after all others), of several rows with
+    that key the one with the least hash of its text, and of rows alike in key and text any one."""
+    source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    prints = written(fingerprints(source, "key", "text", ("hash",)), "fingerprints")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    per = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    stay = per.join(classes(prints), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    k, t = unused(docs, "__key", "__text")
+    is_row = docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(t))
+    kept = docs.join(stay.select(F.col("first.key").alias(k), F.col("first.hash").alias(t)).distinct(), is_row, "left_semi")
+    # Only rows that agree in key and text with another one are compared as a whole.
+    again = prints.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias(k), F.col("hash").alias(t))
+    again = written(again, "repeated-rows")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, is_row, "left_anti").unionByName(kept.join(again, is_row, "left_semi").dropDuplicates([key, text]))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
