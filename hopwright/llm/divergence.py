@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, words_of
+from hopwright.llm.common import boxed, keep_where, table, words_of
 
 COMMON_WORDS = 16
 MIN_WORDS = 50
@@ -47,7 +47,7 @@ def with_counts(df: DataFrame, text: str = "text", prefix: str = _P) -> DataFram
     df = df.withColumns(
         {
             f"{p}n_words": F.size(f"{p}words").cast("bigint"),
-            f"{p}word_chars": F.length(F.array_join(f"{p}words", "")).cast("bigint"),
+            f"{p}word_chars": F.length(_removed(body, " \t\n\x0b\x0c\r")).cast("bigint"),
             f"{p}n_chars": F.length(body).cast("bigint"),
             f"{p}plain": F.regexp_replace(body, r"[\p{L}\p{M}\x20\x09-\x0D]+", ""),
             f"{p}upper": F.length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("bigint"),
@@ -84,7 +84,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     classes = classes.select("__r_lang", F.array(*(F.try_divide(F.col(c).cast("double"), total.cast("double")) for c in CLASSES)).alias("__r_classes"))
     words = docs.select(tongue, F.explode(words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
     counts = words.groupBy("__r_lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = words.groupBy("__r_lang").agg(F.count(F.lit(1)).alias("all"))
+    totals = counts.groupBy("__r_lang").agg(F.sum("n").alias("all"))
     order = Window.partitionBy("__r_lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= common)
     top = top.groupBy("__r_lang").agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
@@ -160,6 +160,12 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     return judge(docs, references(docs, text, lang), text, lang, broadcast=few)
 
 
+def passing(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names."""
+    found = quality(boxed(docs, F.col(text).alias("text"), F.col(lang).alias("lang")))
+    return keep_where(found, F.col(f"{_P}kept")).select("__row.*")
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     p = _P
