@@ -90,8 +90,25 @@ def words_of(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """``df.filter(condition)`` that stays where it is. A filter on a long chain of computed columns would else be pushed below all
     of them, which writes each column's expression into the next and makes a predicate of exponential size."""
-    marked = df.withColumn("__here", F.spark_partition_id())
-    return marked.filter(condition & (F.col("__here") >= 0)).drop("__here")
+    here = unused(df, "__here")[0]
+    marked = df.withColumn(here, F.spark_partition_id())
+    return marked.filter(condition & (F.col(here) >= 0)).drop(here)
+
+
+def boxed(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df`` with each row as one struct, ``__row``, beside the given columns: what it is called inside can't clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), *columns)

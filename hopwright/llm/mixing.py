@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table
+from hopwright.llm.common import boxed, table
 
 SEED = 20
 CHUNK = 8.0
@@ -86,6 +86,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: int
     return replicate(docs, rates(docs, source, **how), key, source, seed, few)
 
 
+def replicas(docs: DataFrame, key: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The rows that ``mix`` gives, with the columns of ``docs`` alone, whatever their names."""
+    return mix(boxed(docs, F.col(key).alias("key"), F.col(source).alias("source")), "key", "source", **how).select("__row.*")
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs).select("doc_id", "source", F.round("__rate", 9).alias("rate"), F.col("__copies").alias("copies"), F.col("__copy").alias("copy"), F.col("__order").alias("shuffle_key"))

@@ -6,7 +6,9 @@ byte prefixes, the last token and hence the count: ``count[i] = count[i - len(la
 pieces add up, and the count at any code point of a text follows from the pieces before it and one stored table.
 
 Nulls and empty texts have 0 tokens. A text may be of any length: pieces are independent and only short ones are kept
-in the cache of a worker. Repeated rows give repeated results; other columns of the input are not read.
+in the cache of a worker. Repeated rows give repeated results; an empty table gives an empty result; other columns of the input are
+not read and may have any names. A prefix may take more tokens than a longer one; where a budget is asked for, the longest prefix
+within it counts. Files that ask for other rules than plain byte-level BPE are refused.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -36,12 +39,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def refuse_other_rules(spec: dict) -> None:
+    """Raises where a file asks for rules that are not followed here, rather than count by others."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    for name, fits in {
+        "normalizer": spec.get("normalizer") is None,
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"),
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }.items():
+        if not fits:
+            raise ValueError(f"{name}: only plain byte-level BPE vocabularies are counted here")
+
+
 class PrefixCounter:
     """Counts for one vocabulary file in the JSON layout of the ``tokenizers`` library."""
 
     def __init__(self, path: str, cache_pieces: int = 300_000, cache_bytes: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_other_rules(spec)
         alphabet = byte_alphabet()
         as_bytes = lambda token: bytes(alphabet[c] for c in token)
         self.vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
@@ -166,6 +183,28 @@ class PrefixCounter:
                 total += self.piece_count(piece) if n is None else n
         return total
 
+    def count_and_cut(self, text: str | None, budget: int) -> tuple[int, int]:
+        """Tokens of the whole text, and the largest k for which ``text[:k]`` takes at most ``budget`` tokens. Counts at the ends of
+        pieces never fall, so only prefixes that end in the piece that passes the budget are looked up in its table."""
+        text = text or ""
+        if self.special_pattern is not None and any(s in text for s in self.special):
+            total = self.count(text)
+            return total, len(text) if total <= budget else self.longest_within(text, budget)
+        known, pieces = self._total, self.split.findall(text)
+        counts = [known.get(p) or self.piece_count(p) for p in pieces]
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        ends = list(accumulate(counts))
+        last = bisect_right(ends, budget)
+        # From a piece that no white space stands before: what is cut later can't change the pieces up to there.
+        first = max(0, last - 1)
+        while first and pieces[first - 1][-1].isspace():
+            first -= 1
+        base, at = ends[first - 1] if first else 0, sum(map(len, pieces[:first]))
+        near = self.at_prefixes("".join(pieces[first : last + 2]))
+        return total, at + max((k for k, n in enumerate(near) if base + n <= budget), default=0)
+
     def at_prefixes(self, text: str | None) -> list[int]:
         """Token counts of ``text[:k]`` for k = 0 .. len(text), each as if that prefix had been encoded on its own."""
         out, base = [0], 0
@@ -225,24 +264,26 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, n_bytes, n_tokens and over_limit for each row; one narrow pass, nothing is shuffled."""
+    """``key``, n_bytes, n_tokens, over_limit and cut_chars, the length in code points of the longest prefix of at most ``limit``
+    tokens, for each row; one narrow pass, nothing is shuffled."""
     field = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(vocabulary)
         for batch in batches:
-            n_bytes, n_tokens = [], []
+            n_bytes, found = [], []
             for value in batch.column(1):
                 value = value.as_py() or ""
                 n_bytes.append(len(value.encode()))
-                n_tokens.append(tokens.count(value))
+                found.append(tokens.count_and_cut(value, limit))
+            n_tokens = [n for n, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                names=[key, "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array([k for _, k in found], pa.int64())],
+                names=[key, "n_bytes", "n_tokens", "over_limit", "cut_chars"],
             )
 
     kind = field.dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, cut_chars bigint")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

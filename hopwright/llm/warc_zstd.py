@@ -6,8 +6,8 @@ version line, required headers, block length against Content-Length, payload dig
 end it. A file that ends inside a frame or a record that fails a check raises an error.
 
 Records with equal payloads: the row with the smallest key is a response, the others are revisits that name it. A null
-payload is empty; a null key comes after all others; among rows with the same key and payload one is the response (they
-are alike). URLs may be null. An empty table writes no archive and reads back as no rows. Archives go to the shared folder
+payload is empty; a null key comes after all others and has no key header; keys are escaped in headers; among rows with the same key and payload one is the response (they
+are alike). URLs may be null. A payload of any length is one record. Other columns may have any names. An empty table writes no archive and reads back as no rows. Archives go to the shared folder
 through the file system its URI names; a task writes to names of its own and moves each file into place when it is whole, so
 a repeated task leaves no half file: the list of whole files comes from the tasks that were counted.
 """
@@ -20,6 +20,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -49,17 +50,26 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def make_record(key: str, url: str | None, payload: bytes, kind: str, digest: str, refers_to: str | None, date: str = "2020-01-01T00:00:00Z") -> bytes:
+def _names(header: str, key: str | None) -> list[str]:
+    """A header line for a key, escaped so that no blank or line break is lost; none for a null key."""
+    return [] if key is None else [f"{header}: {quote(key, safe='')}"]
+
+
+def _key(headers: dict[str, str], header: str) -> str | None:
+    return unquote(headers[header]) if header in headers else None
+
+
+def make_record(key: str | None, url: str | None, payload: bytes, kind: str, digest: str, refers_to: str | None, date: str = "2020-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record; the block of a revisit ends with the HTTP headers."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     target = "".join(c if " " < c else "%20" for c in url or f"urn:hopwright:{key}")
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Key: {key}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id('' if key is None else f'key {key}')}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
+        f"WARC-Payload-Digest: sha1:{digest}", *_names("X-Page-Key", key), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        lines[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        lines[6:6] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(f'key {refers_to}')}", *_names("X-Refers-To-Key", refers_to)]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -166,7 +176,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, body[:-4]
 
 
-def page_of(headers: dict[str, str], block: bytes) -> tuple[str, int, str, str, str | None]:
+def page_of(headers: dict[str, str], block: bytes) -> tuple[str | None, int, str, str, str | None]:
     """key, payload bytes, digest, type and the key of the response it refers to; checks the payload."""
     http, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not http.startswith(b"HTTP/1."):
@@ -176,14 +186,20 @@ def page_of(headers: dict[str, str], block: bytes) -> tuple[str, int, str, str,
     if headers["warc-type"] == "response":
         if len(payload) != length or sha1_base32(payload) != digest:
             raise WarcError("the payload doesn't fit its length or digest")
-        return headers["x-page-key"], length, digest, "response", None
+        return _key(headers, "x-page-key"), length, digest, "response", None
     if headers["warc-type"] != "revisit" or payload:
         raise WarcError("neither response nor revisit")
-    return headers["x-page-key"], length, digest, "revisit", headers["x-refers-to-key"]
+    return _key(headers, "x-page-key"), length, digest, "revisit", _key(headers, "x-refers-to-key")
 
 
-def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path in the shared folder; names that only the JVM's connectors use stand for the same store here."""
+    scheme, _, rest = path.partition("://")
+    path = {"s3a": f"s3://{rest}", "s3n": f"s3://{rest}"}.get(scheme, path)
+    try:
+        return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    except pa.ArrowInvalid as e:
+        raise WarcError(f"archives can't be kept under {scheme}://: name a folder that Arrow can open in spark.checkpoint.dir") from e
 
 
 def _archives(folder: str):
@@ -209,7 +225,7 @@ def _archives(folder: str):
         for batch in batches:
             for key, url, html, kind, first in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = (html or "").encode()
-                held.append(make_record(str(key), url, payload, kind, sha1_base32(payload), None if first is None else str(first)))
+                held.append(make_record(None if key is None else str(key), url, payload, kind, sha1_base32(payload), None if first is None else str(first)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -225,7 +241,7 @@ def _read_archives(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
     for batch in paths:
         for path in batch.column(0).to_pylist():
-            system, at = pafs.FileSystem.from_uri(path)
+            system, at = _open(path)
             with system.open_input_stream(at, compression=None) as stream:
                 rows = [page_of(*record) for record in ArchiveReader(stream).records()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -256,7 +272,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     back = read_pages(write_pages(pages, fresh_path(spark, "warc")))
     kind = pages.schema["page_id"].dataType
-    as_key = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
+    as_key = lambda c: F.col(c).cast(kind)
     return back.select(as_key("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_key("refers_to").alias("refers_to"))
 
 

@@ -126,7 +126,7 @@ def test_simhash_crowded_signatures_lose_no_link(spark):
     want = simhash.spanning(len(fps), a, b)
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
     df = spark.createDataFrame([(k,) for k in place], "fp bigint")
-    for heavy in (10**9, 40):
+    for heavy in (10**9, 40, 3):
         e = simhash.near_links(df, heavy).collect()
         got = simhash.spanning(len(fps), np.array([place[r.u] for r in e]), np.array([place[r.v] for r in e]))
         assert (got == want).all()
@@ -152,6 +152,10 @@ def test_token_prefixes_match_the_library(spark, docs, nothing):
         assert prefixes == [count(t[:k]) for k in range(len(t) + 1)]
         k = own.longest_within(t, 5, prefixes)
         assert count(t[:k]) <= 5 and (k == len(t) or min(prefixes[k + 1 :]) > 5 or prefixes[k + 1] > 5)
+        for budget in (0, 1, 2, 3, 5, 8):
+            assert own.count_and_cut(t, budget) == (count(t), own.longest_within(t, budget, prefixes))
+    with pytest.raises(ValueError):
+        token_prefix.refuse_other_rules({"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel"}, "model": {}, "added_tokens": []})
     got = token_prefix.count_tokens(docs, path).collect()
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((len((t or "").encode()), count(t or ""), count(t or "") > 1024) for _, t, *_ in ROWS)
     assert token_prefix.count_tokens(nothing, path).count() == 0
@@ -209,14 +213,17 @@ def decontaminate_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
+def test_decontamination_with_a_full_bitmap(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     found = decontaminate.prefixes(docs, bench)
-    rows = lambda: sorted(map(str, decontaminate.contamination(docs, found).collect()))
-    whole = rows()
-    monkeypatch.setattr(decontaminate, "BLOCK", 300)
-    assert rows() == whole
+    whole = sorted(map(str, decontaminate.contamination(docs, found).collect()))
+    # 64 bits: nearly every shingle is a candidate.
+    monkeypatch.setattr(decontaminate, "MIN_BITS", 6)
+    assert sorted(map(str, decontaminate.contamination(docs, found, max_bits=6).collect())) == whole
+    # Every word is counted instead of those of the benchmark.
+    monkeypatch.setattr(decontaminate, "VOCABULARY", 0)
+    assert sorted(map(str, decontaminate.contamination(docs, decontaminate.prefixes(docs, bench)).collect())) == whole
 
 
 PAGES = [
@@ -306,6 +313,9 @@ def test_long_broken_pages_take_linear_time():
 
 def test_warc_round_trip(spark):
     df = spark.createDataFrame(PAGES + [(9, "u\n v", "<p>two</p><div>same</div>"), (8, "é", "Ünïcode 🙂" * 1000)], "page_id bigint, url string, html string").withColumn("kind", F.lit(1))
+    keys = spark.createDataFrame([("None", "u", "a"), (" x\r\ny ", "u", "b"), (None, "u", "c"), (" x", "u", "b")], "page_id string, url string, html string")
+    back = {(r.key, r.refers_to) for r in warc_zstd.read_pages(warc_zstd.write_pages(keys, warc_zstd.fresh_path(spark, "warc-keys"))).collect()}
+    assert back == {("None", None), (" x", None), (" x\r\ny ", " x"), (None, None)}
     folder = warc_zstd.fresh_path(spark, "warc-test")
     got = sorted(tuple(map(str, r)) for r in warc_zstd.read_pages(warc_zstd.write_pages(df, folder)).collect())
     want = []

@@ -3,6 +3,7 @@
 import numpy as np
 import oracle
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hopwright.llm import queries, simhash
@@ -48,3 +49,29 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), SF).columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(2, x), (5, y), (5, x), (7, z), (7, z.upper()), (None, x), (None, y), (9, None), (10, ""), (11, ""), (None, None), (2, x), (2, x)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", "text", F.lit(1).alias("__key"), F.lit("fp").alias("fp"), F.lit(2).alias("__text"), F.lit(3).alias("hash"))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id, (r.text or "").lower()) for r in got.collect())
+    assert kept == [(2, x), (5, y), (7, z), (9, "")]
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs.filter("doc_id is null and text is not null"), SF).collect()] == [None, None]
+
+
+def test_stages_take_hostile_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = docs.filter("length(text) > 500").first().text
+    rows = [(None, None, None, None), (None, "", "en", ""), (-1, text, None, "s"), (-1, text, None, "s"), (-1, text + " more", "en", None), (-2, "a b c", "xx", "s"), (-3, (text + " ") * 400, "en", "s")]
+    hostile = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    names = ["__key", "__here", "__q_kept", "__s", "fp", "key"]
+    hostile = docs.limit(60).select("doc_id", "text", "lang", "source", "n_chars").unionByName(hostile).withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, hostile, SF)
+        assert out.columns == hostile.columns, name
+        assert all(r[n] == n for r in out.select(*names).collect() for n in names), name
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, hostile, SF).filter("doc_id < 0").collect()} == {-1}
+    assert corpus_pipeline.STAGES[-1][1](spark, hostile, SF).count() == hostile.count()
