@@ -3,26 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hopwright.llm import decontaminate as decontamination
 from hopwright.llm import divergence, hash_tree, mixing, simhash
-from hopwright.llm.common import keep_where, table, written
+from hopwright.llm.common import table, written
 
 SHARDS = 8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or diverge from their language go."""
-    return keep_where(divergence.quality(docs), F.col("__q_kept")).select(*docs.columns)
+    return divergence.passing(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of several rows with that id and text, one."""
-    classes = simhash.near_duplicates(docs)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__k")).distinct()
-    stay = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near-duplicates one row stays, whatever ids its rows have."""
+    return simhash.survivors(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +28,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document in as many copies as its source's rate gives it, in a global shuffle."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.replicas(docs).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
