@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopwright.functions.draws import keyed_hash
@@ -103,6 +103,27 @@ def trajectories(spark: SparkSession, services: DataFrame, first: int, last: int
     return services.groupBy("service").applyInPandas(fold, "tick bigint, variable int, slot int, value int")
 
 
+def lag1_chain(draws: DataFrame, key: str, at: str, u: str, rows: tuple[tuple[float, ...], ...], start: int = 0) -> DataFrame:
+    """``draws`` with ``value``: for each key, in order of ``at``, a state drawn with ``u`` from the row of the state before it.
+
+    A draw maps every state to its next one, and such maps are composed in any grouping. So a key's stretch is folded as a running
+    composition: within ranges of ``at`` first, then over the ranges; here one window a key does both.
+    """
+    n = len(rows)
+    pick = lambda row: F.least(sum((F.when(F.col(u) >= sum(row[: k + 1]), 1).otherwise(0) for k in range(n)), F.lit(0)), F.lit(n - 1))
+    maps = draws.withColumn("__map", F.array(*(pick(row) for row in rows)))
+    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    # A state is settled since the last draw that sends every state to one; from there on the maps are few.
+    settled = F.size(F.array_distinct("__map")) == 1
+    anchored = maps.withColumn("__block", F.sum(settled.cast("int")).over(w))
+    own = Window.partitionBy(key, "__block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.when(F.col("__block") == 0, F.lit(start)).otherwise(F.element_at(F.first("__map").over(own), 1))
+    steps = F.collect_list("__map").over(own)
+    rest = anchored.withColumns({"__first": first, "__steps": steps})
+    inner = F.when(F.col("__block") == 0, F.col("__steps")).otherwise(F.slice("__steps", 2, F.size("__steps")))
+    return rest.withColumn("value", F.aggregate(inner, F.col("__first"), lambda s, m: F.get(m, s))).drop("__map", "__block", "__first", "__steps")
+
+
 def intensity_of(rate_by_hour: list[float], ticks: np.ndarray, tick_s: int = 1) -> list[int]:
     """Day, night (under half the mean rate) or peak (over 1.15 times) by the hour of each tick."""
     rate = np.array(rate_by_hour)[(ticks * tick_s // 3600) % 24]
