@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hopwright.storage import Rounds
+
 
 def reachable(edges: DataFrame, src: str, dst: str, max_rounds: int = 64) -> DataFrame:
-    """All (a, b) with a path from a to b, by doubling: each round joins the relation with itself."""
-    known = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    """All (a, b) with a path from a to b, by doubling: each round joins the relation with itself and is written."""
+    rounds = Rounds(edges.sparkSession, "reachable")
+    known = rounds.settle(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
     n = known.count()
     for _ in range(max_rounds):
         onward = known.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        known = known.unionByName(known.join(onward, "b").select("a", F.col("c").alias("b"))).distinct()
+        known = rounds.settle(known.unionByName(known.join(onward, "b").select("a", F.col("c").alias("b"))).distinct())
         now = known.count()
         if now == n:
             return known
@@ -31,34 +32,42 @@ def v_structures(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return pairs.join(joined, ["a", "b"], "left_anti").select("a", "c", "b")
 
 
-def compelled(edges: list[tuple]) -> tuple[set, set]:
-    """(compelled directed edges, reversible undirected edges) of a small acyclic graph: v-structures, then Meek's four rules to their fixpoint."""
-    near: dict = {}
-    into: dict = {}
-    for a, b in edges:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-        into.setdefault(b, set()).add(a)
-    fixed = {(s, c) for c, sources in into.items() for a, b in combinations(sorted(sources), 2) if b not in near[a] for s in (a, b)}
-    open_ = {tuple(sorted(e)) for e in edges if tuple(e) not in fixed}
-
-    def forced(x, y) -> bool:
-        around = near[x]
-        if any((z, x) in fixed and z != y and z not in near[y] for z in around):
-            return True
-        if any((x, z) in fixed and (z, y) in fixed for z in around):
-            return True
-        free = [z for z in around if tuple(sorted((x, z))) in open_]
-        if any(w not in near[z] for z, w in combinations([z for z in free if (z, y) in fixed], 2)):
-            return True
-        return any((z, w) in fixed and (w, y) in fixed and w in around and y not in near[z] for z in free for w in near[z])
-
-    while True:
-        found = next(((x, y) for e in sorted(open_) for x, y in (e, e[::-1]) if forced(x, y)), None)
-        if found is None:
-            return fixed, {frozenset(e) for e in open_}
-        fixed.add(found)
-        open_.discard(tuple(sorted(found)))
+def compelled(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
+    """(src, dst, compelled) of each edge of an acyclic graph: whether its direction is the same in every graph that implies the same
+    independences.
+
+    Edges of unshielded colliders are compelled; the rest is closed under Meek's orientation rules (1995), each a join over the
+    edges that are directed (D) and those that are not yet (U): x - y becomes x -> y if (1) some z -> x isn't joined to y, (2) some
+    x -> z -> y, (3) two unjoined z, w with x - z -> y and x - w -> y, (4) some x - z -> w -> y with x joined to w and z not joined
+    to y. All that a round finds is added at once; rounds are written.
+    """
+    rounds = Rounds(edges.sparkSession, "compelled")
+    e = rounds.settle(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).filter("s <> d").distinct())
+    joined = e.unionByName(e.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct()
+    apart = lambda df, a, b: df.join(joined.select(F.col("s").alias(a), F.col("d").alias(b)), [a, b], "left_anti")
+    v = v_structures(e, "s", "d")
+    fixed = v.select(F.col("a").alias("s"), F.col("c").alias("d")).unionByName(v.select(F.col("b").alias("s"), F.col("c").alias("d"))).distinct()
+    state = Rounds(edges.sparkSession, "compelled")
+    now = state.settle(e.join(fixed.withColumn("fixed", F.lit(True)), ["s", "d"], "left").select("s", "d", F.coalesce("fixed", F.lit(False)).alias("fixed")))
+    n = -1
+    for _ in range(max_rounds):
+        count = now.filter("fixed").count()
+        if count == n:
+            return now.select(F.col("s").alias(src), F.col("d").alias(dst), F.col("fixed").alias("compelled"))
+        n = count
+        d, open_ = now.filter("fixed").select("s", "d"), now.filter("NOT fixed").select("s", "d")
+        u = open_.select(F.col("s").alias("x"), F.col("d").alias("y")).unionByName(open_.select(F.col("d").alias("x"), F.col("s").alias("y")))
+        arc = lambda a, b: d.select(F.col("s").alias(a), F.col("d").alias(b))
+        line = lambda a, b: u.select(F.col("x").alias(a), F.col("y").alias(b))
+        first = apart(u.join(arc("z", "x"), "x").filter("z <> y"), "z", "y")
+        second = u.join(arc("x", "z"), "x").join(arc("z", "y"), ["z", "y"])
+        spokes = u.join(line("x", "z"), "x").join(arc("z", "y"), ["z", "y"])
+        third = apart(spokes.join(spokes.withColumnRenamed("z", "w"), ["x", "y"]).filter("z < w"), "z", "w")
+        onward = u.join(line("x", "z"), "x").filter("z <> y").join(arc("z", "w"), "z").join(arc("w", "y"), ["w", "y"])
+        fourth = apart(onward.join(joined.select(F.col("s").alias("x"), F.col("d").alias("w")), ["x", "w"], "left_semi"), "z", "y")
+        found = first.select("x", "y").unionByName(second.select("x", "y")).unionByName(third.select("x", "y")).unionByName(fourth.select("x", "y")).distinct()
+        now = state.settle(now.join(found.select(F.col("x").alias("s"), F.col("y").alias("d"), F.lit(True).alias("new")), ["s", "d"], "left").select("s", "d", (F.col("fixed") | F.coalesce("new", F.lit(False))).alias("fixed")))
+    raise RuntimeError("orientation did not settle")
 
 
 def token_universe(tokens: DataFrame, support: DataFrame) -> DataFrame:
@@ -68,6 +77,61 @@ def token_universe(tokens: DataFrame, support: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def op_of(token: Column) -> Column:
+    """The operation of a token 'op:outcome'; state tokens have none."""
+    return F.when(~token.startswith("state:"), F.split(token, ":")[0].cast("int"))
+
+
+def supported(edges: DataFrame, support: DataFrame, a: str, b: str) -> DataFrame:
+    """Token edges whose operations can occur together, in either order; state tokens always can, tokens of one operation never."""
+    x, y = op_of(F.col(a)), op_of(F.col(b))
+    named = edges.withColumns({"__x": F.least(x, y), "__y": F.greatest(x, y), "__state": x.isNull() | y.isNull()})
+    pairs = support.select(F.least("op_a", "op_b").alias("__x"), F.greatest("op_a", "op_b").alias("__y")).distinct()
+    between = named.filter("NOT __state AND __x <> __y").join(pairs, ["__x", "__y"], "left_semi")
+    return between.unionByName(named.filter("__state")).drop("__x", "__y", "__state")
+
+
+def state_universe(state_tokens: DataFrame, tokens: DataFrame, directed: DataFrame) -> DataFrame:
+    """Pairs of a state token and every token of the operations that its variable reaches in the target. ``state_tokens``: token."""
+    variable = lambda c: F.split(F.col(c), "=")[0]
+    reached = directed.filter(F.col("src").startswith("state:")).select(variable("src").alias("var"), op_of(F.col("dst")).alias("op")).distinct()
+    sources = state_tokens.select(F.col("token").alias("src"), variable("token").alias("var"))
+    return sources.join(reached, "var").join(tokens.select("op", F.col("token").alias("dst")), "op").select("src", "dst").distinct()
+
+
+def strongest(edges: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row per pair: the greatest strength with what it came through; of equal ones the first in ``order``."""
+    best = F.max_by(F.struct("strength", "via"), F.struct(F.col("strength"), -F.col(order)))
+    return edges.groupBy(*keys).agg(best.alias("m")).select(*keys, "m.strength", "m.via")
+
+
+def shared_causes(members: DataFrame) -> DataFrame:
+    """(a, b, strength, via): pairs of tokens that one hidden variable moves. ``members``: latent, token, delta (one entry for each value
+    of the latent); a pair's strength under a latent is the greatest over its values of the smaller of both deltas, and the strongest
+    latent counts."""
+    a, b = members.select("latent", F.col("token").alias("a"), F.col("delta").alias("da")), members.select("latent", F.col("token").alias("b"), F.col("delta").alias("db"))
+    both = a.join(b, "latent").filter("a < b").withColumn("strength", F.array_max(F.zip_with("da", "db", lambda x, y: F.least(x, y))))
+    best = F.max_by("latent", F.struct(F.col("strength"), F.col("latent")))
+    return both.groupBy("a", "b").agg(F.max("strength").alias("strength"), best.alias("via")).filter("strength > 0")
+
+
+def coarsen_bidirected(edges: DataFrame, groups: DataFrame, node: str, group: str) -> DataFrame:
+    """Bidirected edges between groups, the smaller group first, with the greatest strength."""
+    x, y = (groups.select(F.col(node).alias(k), F.col(group).alias(f"{k}_group")) for k in ("a", "b"))
+    out = edges.join(x, "a").join(y, "b").select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b"), "strength").filter("a <> b")
+    return out.groupBy("a", "b").agg(F.max("strength").alias("strength"))
+
+
+def group_key(level: str, op: Column, service: Column) -> Column:
+    """The node that a token's operation becomes: 'op:<id>' or 'svc:<service>'."""
+    return F.concat(F.lit("op:"), op.cast("string")) if level == "op" else F.concat(F.lit("svc:"), service.cast("string"))
+
+
+def topology_prior(calls: DataFrame) -> DataFrame:
+    """Call edges turned round: an effect goes from the callee to its caller. ``calls``: caller, callee."""
+    return calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst")).filter("src <> dst").distinct()
+
+
 def coarsen(edges: DataFrame, groups: DataFrame, node: str, group: str) -> DataFrame:
     """Edges between groups with the greatest strength; edges inside a group go. ``edges``: src, dst, strength."""
     s, d = (groups.select(F.col(node).alias(x), F.col(group).alias(f"{x}_group")) for x in ("src", "dst"))
@@ -84,11 +148,14 @@ def floor_sweep(edges: DataFrame, floors: list[float], src: str, dst: str, stren
 
 
 def is_acyclic(edges: DataFrame, src: str, dst: str) -> bool:
-    """Nodes without an edge into them are taken away, with their edges, until none is left (or the rest has a cycle)."""
-    e = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct()
+    """Edges from a node that none leads into, or into one that none leaves, are taken away until no such edge is left; a rest is a
+    cycle. Rounds are at most half the longest path, and each is written."""
+    rounds = Rounds(edges.sparkSession, "acyclic")
+    e = rounds.settle(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
     n = e.count()
     while n:
-        e = e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi")
+        inner = e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi")
+        e = rounds.settle(inner.join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d"))
         now = e.count()
         if now == n:
             return False

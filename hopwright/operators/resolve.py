@@ -46,8 +46,11 @@ def resolve(ids: DataFrame, ties: DataFrame) -> DataFrame:
 
 def attribute(spans: DataFrame, ids: DataFrame, ties: DataFrame, resolved: DataFrame, use_ip: bool = False) -> DataFrame:
     """(span_id, level, key) of each span: the strongest level with any candidate, of those the smallest key; level 4 without any."""
-    through = ties.select("span_id", "connector").join(resolved, "connector").select("span_id", "level", "key")
-    candidates = ids.select("span_id", "level", "key").unionByName(through).filter(F.lit(use_ip) | (F.col("level") != 3))
+    allowed = F.lit(use_ip) | (F.col("level") != 3)
+    # Only a connector's best key can be a span's: one row each meets the spans, however many keys it has.
+    own = resolved.filter(allowed).groupBy("connector").agg(F.min(F.struct("level", "key")).alias("best")).select("connector", "best.level", "best.key")
+    through = ties.select("span_id", "connector").join(own, "connector").select("span_id", "level", "key")
+    candidates = ids.select("span_id", "level", "key").filter(allowed).unionByName(through)
     best = candidates.groupBy("span_id").agg(F.min(F.struct("level", "key")).alias("best"))
     return spans.select("span_id").join(best, "span_id", "left").select("span_id", F.coalesce("best.level", F.lit(NONE)).alias("level"), F.col("best.key").alias("key"))
 
@@ -82,7 +85,7 @@ def trace_hops(spans: DataFrame, services: DataFrame) -> DataFrame:
     edges = hops.filter("correlation_id is not null").select("trace_id", F.col("correlation_id").alias("request_id")).distinct().withColumn("named", F.lit(True))
     hops = hops.join(edges, ["trace_id", "request_id"], "left")
     hops = hops.withColumn("is_edge", F.coalesce("named", F.lit(False)) | ~S.is_internal(F.col("client_ip"))).drop("named")
-    return hops.join(F.broadcast(services.select(F.col("ip").alias("client_ip"), F.col("service").alias("caller"))), "client_ip", "left")
+    return hops.join(services.select(F.col("ip").alias("client_ip"), F.col("service").alias("caller")), "client_ip", "left")
 
 
 def client_links(spans: DataFrame) -> DataFrame:

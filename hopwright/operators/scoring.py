@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopwright.storage import Rounds
+
 
 def confusion(truth: Column, predicted: Column) -> list[Column]:
     n = lambda c, name: F.count_if(c).alias(name)
@@ -37,13 +39,14 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], parts: int
     """For each column of ``sums`` the total over the rows before, in ``order``, under the name it gives.
 
     Rows are dealt by ranges of the order; a range is summed on its own and shifted by the totals of the ranges before it, so no
-    task holds all rows. The dealt rows are cached, so both passes see the same ranges.
+    task holds all rows. The dealt rows are written, so both passes see the same ranges.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = Rounds(df.sparkSession, "ranges").settle(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     totals = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__{v}") for v in sums))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("__part", *(F.coalesce(F.sum(f"__{v}").over(earlier), F.lit(0)).alias(f"__start_{v}") for v in sums))
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each of the parts.
     out = ranged.join(F.broadcast(starts), "__part")
     return out.withColumns({name: F.col(f"__start_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v, name in sums.items()}).drop("__part", *(f"__start_{v}" for v in sums))
 
@@ -56,10 +59,12 @@ def average_precision(scored: DataFrame, truth: str, score: str, position: str)
 
 
 def top_k_distance(scored: DataFrame, truth: str, score: str, position: str) -> DataFrame:
-    """Symmetric difference of the truth and as many top predictions."""
-    k = scored.agg(F.count_if(F.col(truth)).cast("int")).first()[0]
-    top = scored.orderBy(F.desc(score), F.asc(position)).limit(k)
-    return top.agg(F.lit(k).cast("bigint").alias("k"), F.count_if(F.col(truth)).alias("hits")).select("k", "hits", (2 * (F.col("k") - F.col("hits"))).alias("shd"))
+    """Symmetric difference of the truth and as many top predictions, ties in order of position. Ranks come from ranges of the order."""
+    rows = scored.select(F.col(truth).cast("int").alias("y"), F.lit(1).alias("one"), F.col(score).alias("s"), F.col(position).alias("at"))
+    k = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("k"))
+    top = running(rows, [F.desc("s"), F.asc("at")], {"one": "before"}).join(F.broadcast(k)).filter(F.col("before") < F.col("k"))
+    hits = top.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return hits.join(F.broadcast(k)).select("k", "hits", (F.col("n") + F.col("k") - 2 * F.col("hits")).alias("shd"))
 
 
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:

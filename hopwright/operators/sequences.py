@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopwright.storage import Rounds
+
 GAP_MS = 30 * 60 * 1000
 #: Phases of a sequence against a fault.
 PRE, POST, STRADDLE, NO_PHASE = 0, 1, 2, -1
@@ -69,27 +71,68 @@ def phase(start: Column, end: Column, low: Column, high: Column) -> Column:
     return F.when(start >= high, NO_PHASE).when(end < low, PRE).when((start >= low) & (end < high), POST).otherwise(STRADDLE)
 
 
+def fault_labels(rows: DataFrame, faults: DataFrame, epoch_ms: int = 0) -> DataFrame:
+    """One row per sequence and fault: phase, the positions of root-cause operations in both orderings, and whether any of them failed.
+
+    ``rows``: trace_id, start_ms, end_ms, ops_end, outcomes_end, ops_start; ``faults``: fault_index, start_s, end_s (from the window's
+    start) and causes, a handful from the configuration, which every sequence meets.
+    """
+    met = rows.crossJoin(F.broadcast(faults))
+    at = phase(F.col("start_ms") - epoch_ms, F.col("end_ms") - epoch_ms, F.col("start_s") * 1000, F.col("end_s") * 1000)
+    end = root_cause_positions(F.col("ops_end"), F.col("causes"))
+    took = F.exists(end, lambda i: F.get("outcomes_end", i) != 0)
+    return met.select(
+        "trace_id", "fault_index", at.alias("phase"), end.alias("rc_positions_end"), root_cause_positions(F.col("ops_start"), F.col("causes")).alias("rc_positions_start"), took.alias("rc_took")
+    )
+
+
 def root_cause_positions(ops: Column, causes: Column) -> Column:
     return F.filter(F.transform(ops, lambda o, i: F.when(F.array_contains(causes, o), i)), lambda i: i.isNotNull())
 
 
-def depths(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Depth of each (row, id) under its parent link; roots and parents outside the row are 0, a cycle ends the climb.
-
-    Pointer doubling: the distance to an ancestor 2^k above is known after k joins, so rounds are the logarithm of the depth.
-    """
-    parent = links.select("row", "id", "parent")
-    known = links.select("row", F.col("id").alias("pid"), F.lit(True).alias("inside"))
-    up = parent.join(known, (parent["row"] == known["row"]) & (parent["parent"] == known["pid"]), "left").select(parent["row"], "id", F.when(F.col("inside"), F.col("parent")).alias("up"))
-    state = up.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1))
-    size = max(1, links.groupBy("row").count().agg(F.max("count")).first()[0] or 1)
-    rounds = min(max_rounds, max(1, size - 1).bit_length())
-    for _ in range(rounds):
-        above = state.select(F.col("row").alias("r2"), F.col("id").alias("i2"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        state = state.join(above, (F.col("row") == F.col("r2")) & (F.col("up") == F.col("i2")), "left").select("row", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
+def _climbed(links: DataFrame, most: int) -> DataFrame:
+    """(row, id, up, depth, least): each node's ancestor as far up as is known, the steps to it, and the least id on the way. Pointer
+    doubling: a round doubles the steps, so rounds are the logarithm of the depth; nodes still below another one after ``most`` steps
+    lead into a cycle."""
+    rounds = Rounds(links.sparkSession, "depths")
+    start = F.when(F.col("up").isNull(), 0).otherwise(1)
+    state = rounds.settle(links.select("row", "id", "up", start.alias("depth"), F.least("id", "up").alias("least")))
+    steps = 1
+    while steps <= most and not state.filter("up is not null").isEmpty():
+        above = state.select(F.col("row").alias("r2"), F.col("id").alias("i2"), F.col("up").alias("u2"), F.col("depth").alias("d2"), F.col("least").alias("l2"))
+        met = state.join(above, (F.col("row") == F.col("r2")) & (F.col("up") == F.col("i2")), "left")
+        state = rounds.settle(met.select("row", "id", F.col("u2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.least("least", "l2").alias("least")))
+        steps *= 2
+    return state
+
+
+def depths(links: DataFrame) -> DataFrame:
+    """Depth of each (row, id) under its parent link; roots and parents outside the row are 0. A cycle is cut at the link to its least
+    id: the node that names it as parent is a root. Each round of the climb is written, so plans stay small."""
+    rounds = Rounds(links.sparkSession, "links")
+    known = links.select(F.col("row").alias("r2"), F.col("id").alias("i2"))
+    inside = links.join(known, (F.col("row") == F.col("r2")) & (F.col("parent") == F.col("i2")), "left")
+    up = rounds.settle(inside.select("row", "id", F.col("i2").alias("up")))
+    most = up.groupBy("row").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    state = _climbed(up, most)
+    endless = state.filter("up is not null")
+    if not endless.isEmpty():
+        # After as many steps as there are nodes every pointer is inside a cycle, and every node of one is pointed at.
+        on_cycle = endless.select("row", F.col("up").alias("id")).distinct()
+        least = state.join(on_cycle, ["row", "id"], "left_semi").select("row", "id", F.col("least").alias("cut"))
+        up = rounds.settle(up.join(least, ["row", "id"], "left").select("row", "id", F.when(~F.col("up").eqNullSafe(F.col("cut")) | F.col("cut").isNull(), F.col("up")).alias("up")))
+        state = _climbed(up, most)
     return state.select("row", "id", "depth")
 
 
+def merge_rate(members: DataFrame, truth: str, found: str) -> DataFrame:
+    """Sequences, those that hold members of more than one true session, and their share."""
+    per = members.filter(F.col(truth).isNotNull()).groupBy(found).agg(F.countDistinct(truth).alias("n"))
+    every = members.select(found).distinct().join(per, found, "left")
+    out = every.agg(F.count(F.lit(1)).alias("sequences"), F.count_if(F.col("n") > 1).alias("merged"))
+    return out.withColumn("merge_rate", F.col("merged") / F.greatest("sequences", F.lit(1)))
+
+
 def recovery(members: DataFrame, truth: str, found: str) -> DataFrame:
     """For each true session its best sequence: most common members, on ties the smallest id; with the Jaccard index."""
     common = members.groupBy(truth, found).agg(F.count(F.lit(1)).alias("c"))
