@@ -29,20 +29,23 @@ def read_feed(spark: SparkSession, corpus: str, shards: list[str] | None = None)
     """The records of a corpus's raw files (never its state files), of the given shards or of all."""
     names = "{" + ",".join(shards) + "}" if shards else "*"
     reader = spark.read.schema(FEED).option("basePath", f"{corpus}/raw")
-    # The state file is the one name with this beginning that is left out.
-    return reader.option("pathGlobFilter", "{[!s]*,s[!t]*}.json*").json(f"{corpus}/raw/shard={names}")
+    # Files whose names begin with '.' or '_' are none of the feed's; the state file is told by its whole name.
+    rows = reader.option("pathGlobFilter", "*.json*").json(f"{corpus}/raw/shard={names}")
+    return rows.filter(~F.input_file_name().rlike(r"/state\.jsonl?(\.gz)?$"))
 
 
-def write_feed(records: DataFrame, corpus: str) -> None:
-    """Records as gzipped JSON lines by shard, in order of time and id within each task's file; one commit for all."""
-    ordered = records.repartition("shard").sortWithinPartitions("shard", "ts", "log_id")
-    ordered.write.mode("append").option("compression", "gzip").partitionBy("shard").json(f"{corpus}/raw")
+def write_feed(records: DataFrame, corpus: str, replace: bool = False) -> None:
+    """Records as gzipped JSON lines by shard, in order of time and id within each file, files of a bounded number of rows; one commit
+    for all. ``replace`` renews the shards that ``records`` has and leaves the others."""
+    ordered = records.repartitionByRange("shard", "ts", "log_id").sortWithinPartitions("shard", "ts", "log_id")
+    out = ordered.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+    out.option("compression", "gzip").option("maxRecordsPerFile", 20 * RECORDS_PER_FILE).partitionBy("shard").json(f"{corpus}/raw")
 
 
 def completed_shards(spark: SparkSession, corpus: str) -> list[str]:
     """Shards that have a marker file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.done").option("recursiveFileLookup", "true").load(f"{corpus}/raw").select("path")
-    return sorted(r[0] for r in found.select(F.regexp_extract("path", r"shard=([^/]+)/", 1)).distinct().collect())
+    return sorted(r[0] for r in found.select(F.regexp_extract("path", r"shard=([^/.]+)", 1)).distinct().collect())
 
 
 def evenly_spaced(items: list, most: int = 12) -> list:
@@ -58,8 +61,34 @@ def is_readable(path: Column) -> Column:
 
 
 def write_views(rows: DataFrame, path: str) -> None:
-    """View rows by split and date, files of a bounded number of rows. Each date is spread over the tasks, then packed."""
-    rows.repartition("split", "date").write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("split", "date").parquet(path)
+    """View rows by split and date, files of a bounded number of rows. Ranges of split, date and a hash of the row are dealt out, so
+    that a date of any size is spread over tasks and each task writes few dates."""
+    ranged = rows.repartitionByRange("split", "date", F.xxhash64(*rows.columns))
+    ranged.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", RECORDS_PER_FILE).partitionBy("split", "date").parquet(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Sequence labels; without any, a table that still has its columns."""
+    labels.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_samples(spark: SparkSession, corpus: str) -> DataFrame:
+    return spark.read.parquet(f"{corpus}/metrics/samples")
+
+
+def read_changes(spark: SparkSession, corpus: str) -> DataFrame:
+    return spark.read.parquet(f"{corpus}/oracle/state")
+
+
+def read_catalogue(spark: SparkSession, corpus: str) -> DataFrame:
+    return spark.read.json(f"{corpus}/metrics/series")
+
+
+def open_for_method(spark: SparkSession, corpus: str, path: str) -> DataFrame:
+    """A table that a method under test may read; any other path is refused."""
+    if not any(path.startswith(p) for p in READABLE) or ".." in path.split("/"):
+        raise PermissionError(f"{path} is not open to methods")
+    return spark.read.parquet(f"{corpus}/{path}")
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -69,9 +98,28 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 def manifest(spark: SparkSession, corpus: str) -> DataFrame:
     """path, bytes, sha256 and readable of every file of a corpus."""
     root = corpus.rstrip("/").removeprefix("file://")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(corpus)
-    path = F.substring_index("path", f"{root}/", -1)
-    return files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).withColumn("readable", is_readable(F.col("path")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(corpus).select("path", "length")
+    kind = "path string, length bigint, sha256 string"
+    hashed = files.repartition(max(1, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(_digests, kind)
+    return hashed.select(F.substring_index("path", f"{root}/", -1).alias("path"), F.col("length").alias("bytes"), "sha256").withColumn("readable", is_readable(F.col("path")))
+
+
+def _digests(batches):
+    """SHA-256 of files, a megabyte at a time: a file of any size fits."""
+    import hashlib
+
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(at, compression=None) as stream:
+                while chunk := stream.read(1 << 20):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield batch.assign(sha256=found)
 
 
 def manifest_problems(listed: DataFrame, found: DataFrame) -> DataFrame:
