@@ -1,5 +1,8 @@
 """Queries of the library's operators over the driver tables, with their SQL."""
 
-from hopwright.plans.driver_queries import QUERIES, SQL
+from hopwright.plans import corpus_queries, driver_queries
+
+QUERIES = driver_queries.QUERIES | corpus_queries.QUERIES
+SQL = driver_queries.SQL | corpus_queries.SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -108,15 +108,8 @@ def outcome_class(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.outcome_of(status, F.col("value"), F.lit(50.0)).alias("outcome"))
 
 
-@query("SELECT event_type, arg_max(o, s)::INTEGER AS worst, max(s) AS severity FROM (SELECT event_type, o, CASE o WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS s FROM (SELECT event_type, (user_id % 5)::INTEGER AS o FROM events WHERE event_id % 7 < 3)) GROUP BY 1")
-def outcome_precedence(spark, sf_dir):
-    o = (F.col("user_id") % 5).cast("int").alias("o")
-    return table(spark, sf_dir, "events").filter("event_id % 7 < 3").select("event_type", o).groupBy("event_type").agg(S.worst_outcome(F.col("o")).alias("worst"), F.max(S.severity(F.col("o"))).alias("severity"))
-
-
 @query("SELECT event_type, arg_max(o, s)::INTEGER AS worst, max(s) AS severity FROM (SELECT event_type, o, CASE o WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS s FROM (SELECT event_type, (user_id % 5)::INTEGER AS o FROM events)) GROUP BY 1")
-def outcome_precedence_all(spark, sf_dir):
-    """``outcome_precedence`` over all events."""
+def outcome_precedence(spark, sf_dir):
     o = (F.col("user_id") % 5).cast("int").alias("o")
     return table(spark, sf_dir, "events").select("event_type", o).groupBy("event_type").agg(S.worst_outcome(F.col("o")).alias("worst"), F.max(S.severity(F.col("o"))).alias("severity"))
 
@@ -229,9 +222,9 @@ def _states(spark, sf_dir):
 @query(f"{_STATES}, g AS (SELECT unnest(range(((SELECT min(t) FROM s) // 3600 + 1) * 3600, (SELECT max(t) FROM s), 3600)) AS t), k AS (SELECT DISTINCT event_type FROM s), p AS (SELECT event_type, t FROM k, g) SELECT p.event_type, p.t, s.level FROM p ASOF JOIN s ON p.event_type = s.event_type AND p.t >= s.t")
 def scrape_samples(spark, sf_dir):
     s = _states(spark, sf_dir)
-    span = s.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    first = (F.floor(F.col("a") / 3600).cast("bigint") + 1) * 3600
-    return series.samples(s, span.select(F.explode(series.grid(first, F.col("b"), 3600)).alias("t")), ["event_type"], "t", "level")
+    # One row.
+    span = s.agg(((F.floor(F.min("t") / 3600) + 1) * 3600).cast("bigint").alias("first"), F.max("t").alias("last"))
+    return series.samples(s.join(F.broadcast(span)), ["event_type"], "t", "level", F.col("first"), F.col("last"), 3600)
 
 
 _LOG = "d AS (SELECT *, lag(level) OVER (PARTITION BY event_type ORDER BY t) AS previous FROM s), c AS (SELECT * FROM d WHERE previous <> level)"
@@ -357,20 +350,20 @@ def coarsen_max(spark, sf_dir):
     return graphs.coarsen(edges, table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")
 
 
-@query("WITH f AS (SELECT unnest([1000.0, 50000.0, 200000.0, 400000.0])::DOUBLE AS floor), e AS (SELECT floor, 'c' || o_custkey AS s, 'o' || (o_orderkey % 500) AS d FROM orders, f WHERE o_totalprice >= floor), n AS (SELECT floor, count(DISTINCT x) AS nodes FROM (SELECT floor, s AS x FROM e UNION ALL SELECT floor, d FROM e) GROUP BY 1) SELECT floor, count(*) AS edges, any_value(nodes) AS nodes, round(count(*) / (any_value(nodes) * (any_value(nodes) - 1)), 9) AS density FROM e JOIN n USING (floor) GROUP BY 1")
+@query("WITH f AS (SELECT unnest([1000.0, 50000.0, 200000.0, 400000.0])::DOUBLE AS floor), e AS (SELECT floor, 'c' || o_custkey AS s, 'o' || o_orderkey AS d FROM orders, f WHERE o_totalprice >= floor), n AS (SELECT floor, count(DISTINCT x) AS nodes FROM (SELECT floor, s AS x FROM e UNION ALL SELECT floor, d FROM e) GROUP BY 1) SELECT floor, count(*) AS edges, any_value(nodes) AS nodes, round(count(*) / (any_value(nodes) * (any_value(nodes) - 1)), 9) AS density FROM e JOIN n USING (floor) GROUP BY 1")
 def floor_sweep(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("s"), F.concat(F.lit("o"), F.col("o_orderkey") % 500).alias("d"), "o_totalprice")
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("s"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("d"), "o_totalprice")
     return graphs.floor_sweep(o, [1000.0, 50000.0, 200000.0, 400000.0], "s", "d", "o_totalprice").withColumn("density", F.round("density", 9))
 
 
-_LINKS = "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 300 AS a, 300 + l_suppkey % 40 AS b FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT 300 + l_suppkey % 40, 400 + l_orderkey % 30 FROM lineitem WHERE l_linenumber = 2)"
+_LINKS = "WITH RECURSIVE n AS (SELECT event_id, lead(event_id) OVER w AS up, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), e AS (SELECT event_id AS a, up AS b FROM n WHERE up IS NOT NULL AND k % 12 <> 0)"
 
 
 def _links(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    supplier = 300 + F.col("l_suppkey") % 40
-    first = l.filter("l_linenumber = 1").select((F.col("l_partkey") % 300).alias("a"), supplier.alias("b"))
-    return first.unionByName(l.filter("l_linenumber = 2").select(supplier.alias("a"), (400 + F.col("l_orderkey") % 30).alias("b"))).distinct()
+    """Each event leads to the next one of its user; every twelfth ends a chain."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("a"), F.lead("event_id").over(w).alias("b"), F.row_number().over(w).alias("k"))
+    return e.filter("b is not null and k % 12 <> 0").select("a", "b")
 
 
 @query(f"{_LINKS}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
@@ -378,15 +371,22 @@ def reachability(spark, sf_dir):
     return graphs.reachable(_links(spark, sf_dir), "a", "b")
 
 
-_BIP = "WITH e AS (SELECT DISTINCT 'n' || (l_suppkey % 60) AS s, 'r' || (l_partkey % 90) AS d FROM lineitem WHERE l_quantity > 45 UNION SELECT DISTINCT 'n' || (l_suppkey % 60), 'n' || ((l_suppkey * 7 + 1) % 60) FROM lineitem WHERE l_linenumber = 1)"
+@query("SELECT part, acyclic FROM (VALUES ('chains', true), ('closed', false)) v(part, acyclic)")
+def acyclicity(spark, sf_dir):
+    """The chains of events have no cycle; with a link from each chain's end back to its first event they have."""
+    chains = _links(spark, sf_dir)
+    back = chains.join(chains.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return spark.createDataFrame([("chains", graphs.is_acyclic(chains, "a", "b")), ("closed", graphs.is_acyclic(chains.unionByName(back), "a", "b"))], "part string, acyclic boolean")
+
+
+_BIP = "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS d FROM lineitem WHERE l_suppkey <> l_partkey UNION SELECT 's' || s_suppkey, 's' || (s_suppkey + 1) FROM supplier)"
 
 
 @query(f"{_BIP}, x AS (SELECT * FROM e WHERE s <> d) SELECT a.s AS a, a.d AS c, b.s AS b FROM x a JOIN x b ON a.d = b.d AND a.s < b.s WHERE NOT EXISTS (SELECT 1 FROM x z WHERE (z.s = a.s AND z.d = b.s) OR (z.s = b.s AND z.d = a.s))")
 def vstructures(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    n = F.concat(F.lit("n"), F.col("l_suppkey") % 60)
-    a = l.filter("l_quantity > 45").select(n.alias("s"), F.concat(F.lit("r"), F.col("l_partkey") % 90).alias("d"))
-    b = l.filter("l_linenumber = 1").select(n.alias("s"), F.concat(F.lit("n"), (F.col("l_suppkey") * 7 + 1) % 60).alias("d"))
+    """Suppliers lead to their parts and to the next supplier."""
+    a = table(spark, sf_dir, "lineitem").filter("l_suppkey <> l_partkey").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("s"), F.concat(F.lit("p"), F.col("l_partkey")).alias("d"))
+    b = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("s"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("d"))
     return graphs.v_structures(a.unionByName(b), "s", "d")
 
 
@@ -442,9 +442,9 @@ def headline(spark, sf_dir):
     return h.select("o_orderpriority", "n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "p10", "p50", "p90")))
 
 
-@query("SELECT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT DISTINCT x.p AS a, y.p AS b FROM (SELECT l_orderkey, l_partkey % 40 AS p FROM lineitem) x JOIN (SELECT l_orderkey, l_partkey % 40 AS p FROM lineitem) y USING (l_orderkey) WHERE x.p < y.p)")
+@query("SELECT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT DISTINCT x.p AS a, y.p AS b FROM (SELECT l_orderkey, l_partkey AS p FROM lineitem) x JOIN (SELECT l_orderkey, l_partkey AS p FROM lineitem) y USING (l_orderkey) WHERE x.p < y.p)")
 def support_pairs(spark, sf_dir):
-    return graphs.co_occurring(table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("p")), "l_orderkey", "p")
+    return graphs.co_occurring(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")), "l_orderkey", "p")
 
 
 @query("WITH b AS (SELECT c_mktsegment AS m, c_nationkey AS n, avg(c_acctbal) AS v FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL), a AS (SELECT c_mktsegment AS m, c_nationkey AS n, avg(c_acctbal) AS v FROM customer WHERE c_custkey % 2 = 1 GROUP BY ALL) SELECT m, n, round(coalesce(b.v, 0), 6) AS before, round(coalesce(a.v, 0), 6) AS after, (coalesce(b.v, 0) >= 5000) <> (coalesce(a.v, 0) >= 5000) AS flips FROM b FULL JOIN a USING (m, n) WHERE coalesce(b.v, 0) <> coalesce(a.v, 0)")
@@ -472,17 +472,9 @@ def link_depths(spark, sf_dir):
     return sequences.depths(e.select("row", "id", F.when(F.col("n") % 4 != 0, F.col("up")).alias("parent")))
 
 
-@query("WITH t AS (SELECT DISTINCT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst FROM supplier WHERE s_suppkey % 2 = 0 AND s_nationkey <> s_suppkey % 25), p AS (SELECT DISTINCT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey <> s_suppkey % 25), a AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, sum(DISTINCT CASE WHEN src < dst THEN 1 ELSE 2 END) AS s FROM t GROUP BY ALL), b AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, sum(DISTINCT CASE WHEN src < dst THEN 1 ELSE 2 END) AS s FROM p GROUP BY ALL) SELECT count(*) FILTER (a.s IS DISTINCT FROM b.s) AS shd FROM a FULL JOIN b USING (x, y)")
-def mixed_shd(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 25).cast("int").alias("dst"), "s_suppkey").filter("src <> dst")
-    none = spark.createDataFrame([], "a int, b int")
-    state = lambda k: scoring.mixed_states(s.filter(F.col("s_suppkey") % k == 0), none)
-    return scoring.mixed_distance(state(2), state(3))
-
-
 @query("WITH e AS (SELECT s_nationkey AS src, (s_suppkey % 25)::INTEGER AS dst, s_acctbal FROM supplier WHERE s_nationkey <> s_suppkey % 25), t AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END | CASE WHEN s_acctbal < 0 THEN 4 ELSE 0 END) AS s FROM e WHERE s_acctbal < 5000 GROUP BY ALL), p AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, bit_or(CASE WHEN src < dst THEN 1 ELSE 2 END | CASE WHEN s_acctbal >= 9000 THEN 4 ELSE 0 END) AS s FROM e WHERE s_acctbal >= 5000 GROUP BY ALL) SELECT count(*) FILTER (t.s IS DISTINCT FROM p.s) AS shd FROM t FULL JOIN p USING (x, y)")
-def mixed_shd_all(spark, sf_dir):
-    """``mixed_shd`` over all suppliers: each is on one side by its balance, and the ends of the range are confounded as well."""
+def mixed_shd(spark, sf_dir):
+    """Each supplier is on one side by its balance, and the ends of the range are confounded as well."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") % 25).cast("int").alias("dst"), "s_acctbal").filter("src <> dst")
     state = lambda side, both: scoring.mixed_states(s.filter(side), s.filter(both).select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return scoring.mixed_distance(state("s_acctbal < 5000", "s_acctbal < 0"), state("s_acctbal >= 5000", "s_acctbal >= 9000"))
