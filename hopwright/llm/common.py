@@ -112,3 +112,24 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
 def boxed(df: DataFrame, *columns: Column | str) -> DataFrame:
     """``df`` with each row as one struct, ``__row``, beside the given columns: what it is called inside can't clash."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), *columns)
+
+
+#: Rows of a key that one share of it has at least; at most so many keys have more than one share.
+SHARE_ROWS, MOST_SPLIT = 100_000, 20_000
+
+
+def split_keys(totals: DataFrame, rows: int, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """(key, shares) of the keys whose rows are too many for one task, from ``totals`` (key, n) over ``rows`` rows. A share has at
+    least rows / MOST_SPLIT rows, so these are MOST_SPLIT keys at most, whatever the input: few enough to broadcast."""
+    share = max(share_rows, -(-rows // MOST_SPLIT))
+    return totals.filter(F.col("n") > share).select("key", F.ceil(F.col("n") / share).cast("int").alias("shares"))
+
+
+def shared_join(rows: DataFrame, by: Column, spread: Column, lists: DataFrame, split: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``lists`` (key and what it holds, a row a key) on ``by``: a key of ``split`` is dealt over its shares by
+    ``spread``, and its list is there once for each. Columns key and share go."""
+    key, share, shares = unused(rows, "__by", "__share", "__shares")
+    keyed = rows.withColumn(key, by).join(F.broadcast(split.select(F.col("key").alias(key), F.col("shares").alias(shares))), key, "left")
+    keyed = keyed.withColumn(share, F.pmod(F.xxhash64(spread), F.coalesce(shares, F.lit(1))).cast("int")).drop(shares)
+    each = lists.join(F.broadcast(split), "key", "left").withColumn(share, F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return keyed.join(each.withColumnRenamed("key", key), [key, share], "left").drop(key, share)

@@ -10,8 +10,10 @@ All of it is built-in functions on one row at a time; only the references are ag
 row holds a few dozen numbers. Up to ``MAX_LANGUAGES`` languages the references are broadcast; beyond that the rows are
 joined by salted language.
 
-Null text counts as empty; a null language is a language of its own. Repeated rows give repeated results. An empty table
-gives an empty result. Other columns, whatever their names, are carried through ``judge`` and not read.
+Null text counts as empty; a null language is a language of its own. Texts of any length are taken whole. Of words that are equally
+common the first by its letters counts as the more common one. Repeated rows give repeated results. An empty table gives an empty
+result. Other columns are carried through ``judge`` and not read; its own begin with '__q_' and '__r_' and replace such columns of the
+input. ``passing`` gives the input's columns alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,10 +6,11 @@ proportion to its weight. A draw depends on the child's own path and weight alon
 along its path change, and rows move only into the subtree that gained, or out of the one that lost. A shard in a region
 of its own therefore takes rows only into itself.
 
-Placement reads the key alone: a null key is a key like any other, repeated keys share a shard. Null texts have size 1
-and crc32 0. Slots number the rows of a shard without gaps: rows are ordered by a hash bucket, then key, size and crc32;
+Placement reads the key alone: a null key is a key like any other, repeated keys share a shard; rows without a key share a slot
+bucket too, which one task numbers. Null texts have size 1 and crc32 0; texts of any length are measured whole. Slots number the rows of a shard without gaps: rows are ordered by a hash bucket, then key, size and crc32;
 each bucket is numbered on its own and shifted by the sizes of the buckets before it, so no task holds a whole shard.
-An empty table gives an empty result. Columns of the input beyond key and text are not read.
+Rows alike in key, size and crc32 get their slots in any order. An empty table gives an empty result. Columns of the input beyond
+key and text are not read and may have any names.
 """
 
 from __future__ import annotations

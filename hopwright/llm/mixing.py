@@ -7,8 +7,9 @@ and put into a global order by a hash of seed, key and copy.
 
 Rates are aggregated from all rows (one number a source). Up to ``MAX_SOURCES`` sources they are broadcast; beyond that rows
 join them by salted source, so that a source with a third of all rows is spread out. A null source is a source; null keys draw
-like one key; repeated keys draw alike. Null and empty texts are documents like others. An empty table gives no rows. Other
-columns are carried along under their own names.
+like one key; repeated keys draw alike. Texts aren't read: null, empty and very long ones are documents like others. Rows of equal
+order (repeated keys) stand beside each other in any order. An empty table gives no rows. Other columns are carried along; those of
+``mix`` begin with '__' and replace such columns of the input. ``replicas`` gives the input's columns alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ no count can tell; of what is left, elements go whose tag or role says so, or a
 only place it. Only then, if an article or main element of the page still has text, only text in those counts.
 
 Counts are summed before they are shuffled. A host with P pages of S subtrees on average has fewer than S / ratio recurring ones,
-so its template is a short list. Up to ``BROADCAST_ROWS`` subtrees in all are broadcast; beyond that pages join by host and salt.
+so its template is a short list. Up to ``BROADCAST_ROWS`` subtrees in all are broadcast; beyond that pages join by host, and a host
+of many pages is dealt into shares.
 Hosts of fewer than ``MIN_PAGES`` pages have no template.
 
 Null html gives an empty text, a null url belongs to the host ''. Repeated pages count as pages. Broken markup is read as far
@@ -32,14 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, written
+from hopwright.llm.common import SHARE_ROWS, shared_join, split_keys, table, written
 from hopwright.llm.line_dedup import host_of
 
 RATIO = 0.5
 #: For the running text of articles.
 PROSE_RATIO = 0.8
 MIN_PAGES = 10
-SALTS = 48
 #: 16 bytes a row and the host names.
 BROADCAST_ROWS = 200_000
 DEPTH = 512
@@ -330,50 +330,53 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], *_COLUMNS])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(key: str):
     """Columns key, url, host, the host's template and the page's parts to key, url, text and its length."""
-    host, drop = None, frozenset()
-    for batch in batches:
-        texts = []
-        columns = [batch.column(i) for i in range(4, 4 + len(_COLUMNS))]
-        for i, (name, template) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-            if name != host:
-                host, drop = name, frozenset(template.as_py() or ())
-            texts.append(Page(*(c[i].as_py() for c in columns)).main_text(drop))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[batch.schema.names[0], "url", "text", "n_chars"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, drop = None, frozenset()
+        for batch in batches:
+            texts = []
+            columns = [batch.column(i) for i in range(4, 4 + len(_COLUMNS))]
+            for i, (name, template) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
+                if name != host:
+                    host, drop = name, frozenset(template.as_py() or ())
+                texts.append(Page(*(c[i].as_py() for c in columns)).main_text(drop))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[key, "url", "text", "n_chars"])
+
+    return run
 
 
 def parse_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """key, url, host and the parts of each page."""
-    source = pages.select(F.col(key), F.col("url"), host_of(F.col("url")).alias("host"), F.col("html"))
-    kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(_parse, f"`{key}` {kind}, url string, host string, {_SCHEMA}")
+    """The page's key (``__key``), url, host and parts."""
+    source = pages.select(F.col(key).alias("__key"), F.col("url"), host_of(F.col("url")).alias("host"), F.col("html"))
+    kind = source.schema["__key"].dataType.simpleString()
+    return source.mapInArrow(_parse, f"__key {kind}, url string, host string, {_SCHEMA}")
 
 
-def templates(parsed: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(``__host``, ``__hash``) of the subtrees that recur on at least ``min_pages`` pages and more than ``ratio`` of a host's, for
-    running text of articles more than ``PROSE_RATIO``."""
-    totals = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("__pages"))
-    each = parsed.select("host", F.explode(F.array_distinct("hashes")).alias("__hash"))
-    counts = each.groupBy("host", "__hash").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pages)
-    salted = totals.filter(F.col("__pages") >= min_pages).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = counts.withColumn("__salt", F.pmod("__hash", F.lit(SALTS)).cast("int")).join(salted, ["host", "__salt"])
-    least = F.when(F.col("__hash").bitwiseAND(F.lit(1)) == 1, F.lit(max(ratio, PROSE_RATIO))).otherwise(F.lit(ratio))
-    return found.filter(F.col("__n") > least * F.col("__pages")).select(F.col("host").alias("__host"), "__hash")
+def templates(parsed: DataFrame, totals: DataFrame, split: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(``key``: host, ``hash``) of the subtrees that recur on at least ``min_pages`` pages and more than ``ratio`` of a host's, for
+    running text of articles more than ``PROSE_RATIO``. ``totals`` has the pages ``n`` of each host, ``split`` the hosts of many."""
+    each = parsed.select("host", F.explode(F.array_distinct("hashes")).alias("hash"))
+    counts = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= min_pages)
+    least = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, F.lit(max(ratio, PROSE_RATIO))).otherwise(F.lit(ratio))
+    found = shared_join(counts, F.col("host"), F.col("hash"), totals.filter(F.col("n") >= min_pages), split)
+    return found.filter(F.col("times") > least * F.col("n")).select(F.col("host").alias("key"), "hash")
 
 
-def extract(pages: DataFrame, key: str = "page_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS, share_rows: int = SHARE_ROWS) -> DataFrame:
     """key, url, text and n_chars of each page."""
     parsed = written(parse_pages(pages, key), "parsed")
-    found = written(templates(parsed, ratio, min_pages), "templates")
-    lists = found.groupBy("__host").agg(F.collect_list("__hash").alias("__drop"))
+    totals = written(parsed.groupBy(F.col("host").alias("key")).agg(F.count(F.lit(1)).alias("n")), "hosts")
+    split = split_keys(totals, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], share_rows)
+    found = written(templates(parsed, totals, split, ratio, min_pages), "templates")
+    lists = found.groupBy("key").agg(F.collect_list("hash").alias("drop"))
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        rows = parsed.join(F.broadcast(lists), F.col("host") == F.col("__host"), "left")
+        rows = parsed.join(F.broadcast(lists.withColumnRenamed("key", "__host")), F.col("host") == F.col("__host"), "left")
     else:
-        lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = parsed.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(lists, (F.col("host") == F.col("__host")) & (F.col("__own") == F.col("__salt")), "left")
-    kind = parsed.schema[key].dataType.simpleString()
-    return rows.select(key, "url", "host", "__drop", *_COLUMNS).mapInArrow(_cut, f"`{key}` {kind}, url string, text string, n_chars bigint")
+        rows = shared_join(parsed, F.col("host"), F.col("__key"), lists, split)
+    kind = parsed.schema["__key"].dataType.simpleString()
+    return rows.select("__key", "url", "host", "drop", *_COLUMNS).mapInArrow(_cut(key), f"`{key}` {kind}, url string, text string, n_chars bigint")
 
 
 def op3_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,7 +236,11 @@ def test_line_dedup(spark):
     df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
     got = {(r.page_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate_lines(df, ratio=0.5).collect()}
     assert got == {(1, "menu\none", 3, 1), (2, "two", 2, 1), (3, "", 0, 0), (4, "", 0, 0), (None, "no key", 1, 0), (5, "three &amp;\nfour", 3, 1)}
+    assert {(r.page_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate_lines(df, ratio=0.5, share_rows=2).collect()} == got
     assert line_dedup.drop_boilerplate_lines(df.limit(0)).count() == 0
+    mixed = [(i, "http://a/", f"<SCRIPT>x</SCRIPT>same\t\r\nown {i}<STYLE>y</style>" + "long " * 200_000) for i in range(6)]
+    rows = line_dedup.drop_boilerplate_lines(spark.createDataFrame(mixed, "page_id bigint, url string, html string")).collect()
+    assert {(r.text, r.n_dropped) for r in rows} == {(f"own {i}", 2) for i in range(6)}
 
 
 def test_site_template(spark):
@@ -290,8 +294,8 @@ def test_site_template_by_plain_counting(spark):
     drop = {(h, x) for (h, x), c in n.items() if c >= 10 and c > (0.8 if x % 2 else 0.5) * total[h]}
     want = sorted((i, p.main_text({x for g, x in drop if g == h})) for (i, _, _), (h, p) in zip(rows, pages))
     assert len(drop) > 20
-    for few in (10**6, 0):  # by broadcast and by salt
-        assert sorted((r.page_id, r.text) for r in site_template.extract(df, broadcast_rows=few).collect()) == want
+    for few, share in ((10**6, 10**6), (0, 10**6), (0, 7)):  # by broadcast, by host, and by shares of hosts
+        assert sorted((r.page_id, r.text) for r in site_template.extract(df, broadcast_rows=few, share_rows=share).collect()) == want
 
 
 def test_names_that_only_mention_a_sidebar_keep_their_text():
