@@ -78,7 +78,8 @@ def text_number(message: Column, key: str) -> Column:
 
 
 def within_tolerance(a: Column, b: Column, absolute: float = 0.01, relative: float = 0.1) -> Column:
-    return F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.abs(b))
+    """Whether a measurement is close to a constant; against a constant of zero only the absolute bound counts."""
+    return F.abs(a - b) <= F.when(b == 0, absolute).otherwise(F.greatest(F.lit(absolute), relative * F.abs(b)))
 
 
 def next_on_grid(value: Column, step: int) -> Column:

@@ -147,6 +147,13 @@ def floor_sweep(edges: DataFrame, floors: list[float], src: str, dst: str, stren
     return counts.withColumn("density", F.try_divide(F.col("edges").cast("double"), (F.col("nodes") * (F.col("nodes") - 1)).cast("double")))
 
 
+def floor_sensitivity(edges: DataFrame, floors: list[float], src: str, dst: str, strength: str) -> DataFrame:
+    """``floor_sweep`` with whether the edges of each floor are free of cycles. Floors are few; each is peeled on its own."""
+    spark = edges.sparkSession
+    flags = spark.createDataFrame([(float(f), is_acyclic(edges.filter(F.col(strength) >= f), src, dst)) for f in floors], "floor double, acyclic boolean")
+    return flags.join(floor_sweep(edges, floors, src, dst, strength), "floor", "left").select("floor", "acyclic", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("edges", "nodes")), "density")
+
+
 def is_acyclic(edges: DataFrame, src: str, dst: str) -> bool:
     """Edges from a node that none leads into, or into one that none leaves, are taken away until no such edge is left; a rest is a
     cycle. Rounds are at most half the longest path, and each is written."""

@@ -38,6 +38,10 @@ def exposure(variant: str | None = None, exposed: list[str] | None = None) -> tu
     return variant or next((v for v, g in EXPOSED.items() if frozenset(g) == shown), "custom"), shown
 
 
+def hidden_groups(variant: str) -> list[str]:
+    return sorted(set(GROUPS) - set(EXPOSED[variant]))
+
+
 @dataclass
 class Effect:
     chances: np.ndarray
@@ -244,3 +248,52 @@ def strengths(spark: SparkSession, net: Network) -> DataFrame:
             yield pd.DataFrame(rows, columns=["parent", "child", "strength", "anywhere"])
 
     return _pairs(spark, wanted).mapInPandas(run, "parent string, child string, strength double, anywhere double")
+
+
+def regime_networks(plant) -> list[tuple[str, float, float, Network]]:
+    """(name, start_s, end_s, network) of the base and of every regime: only graphs change at a changepoint, the traffic is the base's."""
+    from hopwright import config as C
+    from hopwright.operators.mechanism import build
+
+    overlays = {r["name"]: r["overlay"] for r in plant.config["schedules"]["regimes"]}
+    out = []
+    for name, start, end in C.regimes(plant.config):
+        config, constants = C.apply_overlay(plant.config, plant.constants, overlays.get(name, {}))
+        out.append((name, start, end, build(plant.system, config, constants, plant.latency)))
+    return out
+
+
+def changepoints(spark: SparkSession, plant, floor: float) -> DataFrame:
+    """Edges of the mechanism that differ between a regime and the one before: regime, at_s, parent, child, before, after, flips."""
+    regimes, out = regime_networks(plant), None
+    for (_, _, _, old), (name, start, _, new) in zip(regimes, regimes[1:]):
+        before, after = (strengths(spark, n).select("parent", "child", F.round("strength", 6).alias("strength")) for n in (old, new))
+        rows = graphs.changed_edges(before, after, ["parent", "child"], "strength", floor).select(F.lit(name).alias("regime"), F.lit(float(start)).alias("at_s"), "parent", "child", "before", "after", "flips")
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else spark.createDataFrame([], "regime string, at_s double, parent string, child string, before double, after double, flips boolean")
+
+
+def write_artifacts(spark: SparkSession, plant, net: Network, variant: str, corpus: str) -> dict[str, int]:
+    """The graphs folder of a corpus: the alphabet, targets of both grains with what they cover, floors, coarser views, the mechanism and
+    its changepoints. Returns row counts."""
+    from hopwright import topology as T
+    from hopwright.storage import Rounds
+
+    _, shown = exposure(variant)
+    states = [(n, v.group, x) for n, v in net.nodes.items() if v.latent and v.group in shown for x in v.values]
+    tokens = T.alphabet(plant.system, plant.config["endpoints"]["repertoire"], states)
+    kind = "token string, op_id int, service string, name string, kind int, outcome string"
+    frames = {"alphabet": spark.createDataFrame([tuple(t[c.split()[0]] for c in kind.split(", ")) for t in tokens], kind), "mechanism": strengths(spark, net), "changepoints": changepoints(spark, plant, plant.config["mechanism"]["floor"])}
+    for grain in ("request", "session"):
+        support = spark.createDataFrame(sorted(T.support(plant.system, grain)), "op_a int, op_b int")
+        directed, both, within = target(spark, Projector(net, shown, grain, plant.seed), support)
+        frames |= {f"{grain}-support": support, f"{grain}-directed": directed, f"{grain}-bidirected": both, f"{grain}-within": within}
+    d = frames["request-directed"] = Rounds(spark, "directed").settle(frames["request-directed"])
+    frames["floors"] = graphs.floor_sensitivity(d, plant.config["mechanism"]["sweep"], "src", "dst", "strength")
+    ops = spark.createDataFrame([(o.id, o.service) for o in plant.system.ops], "op int, service int")
+    for level in ("op", "service"):
+        names = frames["alphabet"].select(F.col("token").alias("t"), F.col("op_id").alias("op")).join(ops, "op").select("t", graphs.group_key(level, F.col("op"), F.col("service")).alias("g"))
+        frames[f"view-{level}"] = graphs.coarsen(d, names, "t", "g")
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{corpus}/graphs/{name}")
+    return {name: spark.read.parquet(f"{corpus}/graphs/{name}").count() for name in frames}

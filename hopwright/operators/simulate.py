@@ -168,13 +168,20 @@ class _States:
 class Evaluator:
     """Request trees of one edge operation for many requests at once."""
 
-    def __init__(self, plant: Plant):
-        self.plant, self.system = plant, plant.system
+    def __init__(self, plant: Plant, force: dict[str, str] | None = None):
+        """``force`` holds variables of the mechanism (invocations, attempts, finals of backend operations) at a value."""
+        self.plant, self.system, self.force = plant, plant.system, force or {}
         rows = M.class_rows(plant.constants, plant.config["mechanism"]["error_rate_multiplier"])
         self.class_cdf = {t: np.cumsum(r, axis=-1) for t, r in rows.items()}
         self.reached_cdf = np.array([np.ones(4), *(np.cumsum(M.PROPAGATION[c]) for c in M.CLASSES[1:])])
         self.retries, self.again = plant.config["endpoints"]["retry"], plant.constants["retry.p_retry_5xx"]
 
+    def _invocation(self, op: int) -> bool | None:
+        """Whether an operation is held invoked, or not; None where nothing says so. A held outcome takes an invocation."""
+        if (own := self.force.get(f"I:{op}")) is not None:
+            return own == "present"
+        return True if any(k.split(":")[:2] in (["F", str(op)], ["A", str(op)]) and x != "absent" for k, x in self.force.items()) else None
+
     @staticmethod
     def _pick(u: np.ndarray, cdf: np.ndarray) -> np.ndarray:
         return np.minimum((u[:, None] >= cdf).sum(axis=1), cdf.shape[1] - 1)
@@ -198,6 +205,9 @@ class Evaluator:
                 if c.cached:
                     made &= (state[c.caller]["cache"] == 1) | (draw(c.index, HIT) >= c.p_hit)
                 parent[v] = np.where(made & (parent[v] < 0), c.caller, parent[v])
+            if (set_ := self._invocation(v)) is not None:
+                callers = [c.caller for c in system.callers_of[v] if c.caller in here]
+                parent[v] = np.where(parent[v] < 0, next(iter(callers), -1), parent[v]) if set_ else np.full(n, -1)
             here[v] = parent[v] >= 0
         # From the bottom: what each attempt comes to and how long it takes.
         final, total, attempts = {}, {}, {}
@@ -226,10 +236,18 @@ class Evaluator:
                 cls = np.where(allowed[cls], cls, 0)
                 own_s = plant.latency.own(v, draw(v, OWN, k)) * slower
                 all_s = own_s + (waited if k == 0 else M.RETRY_PAUSE_S)
-                last = np.where((cls == 0) & allowed[4] & (all_s > plant.latency.threshold[v]), 4, cls)
+                limit = plant.latency.threshold[v]
+                if k == 0 and (end := self.force.get(f"F:{v}")) not in (None, "absent"):
+                    # A final held at a class takes as long as that class allows.
+                    all_s = np.maximum(all_s, limit * 1.0001) if end == "slow" else np.minimum(all_s, limit)
+                last = np.where((cls == 0) & allowed[4] & (all_s > limit), 4, cls)
+                if (set_ := self.force.get(f"A:{v}:{k}")) is not None:
+                    last, made = np.full(n, OUTCOMES.index(set_)), here[v] & (set_ != "absent")
                 attempts[v].append((made.copy(), last, own_s, all_s, sum_s.copy()))
                 fin, sum_s = np.where(made, last, fin), sum_s + np.where(made, all_s, 0.0)
                 last = np.where(made, last, ABSENT)
+            if (set_ := self.force.get(f"F:{v}")) is not None:
+                fin = np.where(here[v], OUTCOMES.index(set_), ABSENT)
             final[v], total[v] = fin, sum_s
         # From the top again: callees one after the other once half of the caller's own time is over.
         begin = {edge: start.astype(float)}
@@ -490,6 +508,28 @@ class Emitter:
             "state_health", "state_pool", "state_cache", "state_load",
         )
 
+    def oracle_linkage(self, rows: DataFrame, records: DataFrame) -> DataFrame:
+        """For each record its true request, session, device and operation: log_id, part, kind, op, req_gid, session_gid, device_index,
+        edge_request_id, parent_log_id. Records of no request (health checks, background lines) have none."""
+        hops = rows.filter("client_op is null")
+        keys = [F.col("req_gid"), F.col("op"), F.col("attempt")]
+        common = ["req_gid", F.col("gid").alias("session_gid"), F.col("device").alias("device_index")]
+        own = hops.select(F.col("span_id").alias("log_id"), "op", *common, F.lit(None).cast("string").alias("parent_log_id"))
+        first = hops.filter("attempt = 0").select("req_gid", F.col("op").alias("parent_op"), F.col("span_id").alias("up"))
+        own = own.join(hops.join(first, ["req_gid", "parent_op"], "left").select(F.col("span_id").alias("log_id"), "up"), "log_id").withColumn("parent_log_id", F.col("up")).drop("up")
+        tags = hops.withColumn("tag", F.explode(F.sequence(F.lit(10), F.lit(21)))).withColumn("source", F.when(F.col("tag") < 20, "app").otherwise("audit"))
+        lines = tags.select(ids.hex_id(24, F.lit(self.plant.seed), F.col("source"), *keys, F.col("tag")).alias("log_id"), "op", *common, F.col("span_id").alias("parent_log_id"))
+        clients = rows.filter("client_op is not null")
+        of = lambda name: clients.select(self.id(24, name, F.col("gid"), F.col("step"), F.col("attempt")).alias("log_id"), F.col("client_op").alias("op"), *common, self.id(24, "access", F.col("req_gid"), F.col("edge_op"), 0).alias("parent_log_id"))
+        every = own.unionByName(lines).unionByName(of("sentry")).unionByName(of("txn"))
+        named = records.select("log_id", F.coalesce("part", F.lit(1)).alias("part"), "kind").join(every, "log_id", "left")
+        return named.join(self.edge_ids(hops).select("req_gid", "edge_request_id"), "req_gid", "left")
+
+    def with_states(self, access: DataFrame, rows: DataFrame) -> DataFrame:
+        """Access records with the names of the states that were in force: what a variant that shows them has."""
+        named = [F.get(F.array(*map(F.lit, M.VALUES[g])), F.col(f"state_{g}")).alias(f"state_{g}") for g in ("health", "pool", "cache", "load")]
+        return access.join(rows.filter("client_op is null").select(F.col("span_id").alias("log_id"), *named, F.col("attempt").alias("state_retry")), "log_id", "left")
+
     def oracle_sessions(self, sessions: DataFrame, rows: DataFrame) -> DataFrame:
         """Sessions with their identities, the steps they got to and whether all went well."""
         last = F.max_by(F.col("outcome") == 0, F.struct("step", "attempt"))
@@ -524,14 +564,30 @@ def estimate(plant: Plant) -> dict[str, float]:
     return {"sessions": float(sessions), "requests": float(requests), "records": float(records), "gb": float(records * plant.constants["bytes_per_record.vl"] * plant.constants["gzip_ratio"] / 1e9)}
 
 
-def forced_effect(plant: Plant, edge: int, values: list[int], variable: int, slot: int, n: int = 20_000) -> list[np.ndarray]:
-    """Outcome shares of an edge operation with one hidden state held at each of ``values``: what the mechanism's strengths are checked
-    against, by simulation."""
-    evaluator, out = Evaluator(plant), []
+def forced(plant: Plant, edge: int, child: str, force: dict[str, str], n: int = 20_000) -> np.ndarray:
+    """Shares of a variable's values among requests to ``edge`` with others held: what the mechanism's distributions are checked against,
+    by simulation. ``child`` is an invocation, attempt or final of a backend operation, or 'T' for the edge's own attempt; states (load,
+    pool, cache, health) are nominal where they are not held."""
     mask = next(s.edge_mask for s in plant.system.scenarios if any(e == edge for _, e in s.steps))
-    requests = pd.DataFrame({"req_gid": np.arange(n), "gid": np.arange(n), "start_ms": np.zeros(n, np.int64), "tick": np.zeros(n, np.int64), "auth": np.zeros(n, int)})
-    for x in values:
-        held = _States(pd.DataFrame({"tick": [0], "variable": [variable], "slot": [slot], "value": [x]}))
-        outcome, _, _ = evaluator.trees(edge, requests, held, mask)
-        out.append(np.bincount(outcome, minlength=6) / n)
-    return out
+    requests = pd.DataFrame({"req_gid": np.arange(n), "gid": np.arange(n), "start_ms": np.zeros(n, np.int64), "tick": np.zeros(n, np.int64), "auth": np.full(n, int(force.get("auth") == "expired"))})
+    names = {"load": latents.LOAD, "pool": latents.POOL, "cache": latents.CACHE, "health": latents.HEALTH}
+    states = [(0, names[g], int(k), M.VALUES[g].index(x)) for node, x in force.items() for g, _, k in [node.partition(":")] if g in names]
+    held = _States(pd.DataFrame(states, columns=["tick", "variable", "slot", "value"]))
+    outcome, _, hops = Evaluator(plant, force).trees(edge, requests, held, mask)
+    kind, *rest = child.split(":")
+    if kind == "T":
+        return np.bincount(outcome, minlength=6) / n
+    rows = hops[hops["op"] == int(rest[0])].sort_values("attempt")
+    if kind == "I":
+        called = rows["req_gid"].nunique() / n
+        return np.array([called, 1 - called])
+    found = rows[rows["attempt"] == int(rest[1])] if kind == "A" else rows.drop_duplicates("req_gid", keep="last")
+    shares = np.bincount(found["outcome"], minlength=6) / n
+    shares[ABSENT] = 1 - shares[:ABSENT].sum()
+    return shares
+
+
+def forced_effect(plant: Plant, edge: int, values: list[int], variable: int, slot: int, n: int = 20_000) -> list[np.ndarray]:
+    """Outcome shares of an edge operation with one hidden state held at each of ``values``."""
+    group = {latents.LOAD: "load", latents.POOL: "pool", latents.CACHE: "cache", latents.HEALTH: "health"}[variable]
+    return [forced(plant, edge, "T", {f"{group}:{slot}": M.VALUES[group][x]}, n) for x in values]

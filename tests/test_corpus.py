@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from hopwright.operators import latents, sequences
+from hopwright.operators import graphs, latents, sequences
 from hopwright.sources import corpus
 from hopwright.streaming import sessions
 
@@ -61,6 +61,27 @@ def test_stream_sessions_equal_batch_runs(spark, tmp_path):
     assert got == sorted((r.u, r.a, r.b, r.n) for r in batch.collect())
 
 
+def test_the_end_of_a_source_closes_its_sessions(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 5, 9)
+    df = spark.createDataFrame([(1, t0), (2, t0 + dt.timedelta(minutes=40))], "u int, ts timestamp")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    run = lambda: sessions.run_to_table(sessions.stream_sessions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["u"]), str(tmp_path / "out"), str(tmp_path / "ck"))
+    run().awaitTermination(120)
+    sessions.close_source(df, str(tmp_path / "in"))
+    query = run()
+    query.awaitTermination(120)
+    assert sorted(r.u for r in spark.read.schema("u int").parquet(str(tmp_path / "out")).collect()) == [1, 2] and sessions.dropped_rows(query) == 0
+    whole = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    sessions.run_complete_groups(whole, ["u"], str(tmp_path / "groups"), str(tmp_path / "ck2")).awaitTermination(120)
+    assert sorted(r.u for r in spark.read.parquet(str(tmp_path / "groups")).filter("u is not null").collect()) == [1, 2]
+
+
+def test_floors_and_their_cycles(spark):
+    edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.5), ("c", "a", 0.1)], "src string, dst string, s double")
+    got = {r.floor: (r.edges, r.nodes, r.acyclic) for r in graphs.floor_sensitivity(edges, [0.05, 0.3, 0.95], "src", "dst", "s").collect()}
+    assert got == {0.05: (3, 3, False), 0.3: (2, 3, True), 0.95: (0, 0, True)}
+
+
 def test_trajectories(spark):
     services = spark.createDataFrame([(0, [0, 1]), (1, [2])], "service int, endpoints array<int>")
     level = latents.intensity_of([1.0] * 24, __import__("numpy").arange(400))

@@ -191,6 +191,28 @@ def test_strengths_by_simulation(net, plant):
     assert abs((got[1][1:4].sum()) - failed[1:4].sum()) < 0.05 and got[1][1:4].sum() > got[0][1:4].sum() + 0.3
 
 
+def test_held_variables_act_as_the_mechanism_says(net, plant):
+    system = plant.system
+    call = next(c for c in system.calls if system.ops[c.caller].kind == T.EDGE and system.ops[c.callee].kind == T.SERVICE and c.critical)
+    edge, inner = call.caller, call.callee
+    scenario, step = next((s.index, j) for s in system.scenarios for j, (_, e) in enumerate(s.steps) if e == edge)
+    node = f"T:bff:{scenario}:{step}:0"
+    got = simulate.forced(plant, edge, "T", {f"F:{inner}": "err"})
+    want = net.distribution(node, net.context(node, {f"F:{inner}": "err"}))
+    assert abs(got[1:4].sum() - want[1:4].sum()) < 0.06
+    assert simulate.forced(plant, edge, f"I:{inner}", {f"I:{inner}": "absent"})[0] == 0 and simulate.forced(plant, edge, f"I:{inner}", {f"I:{inner}": "present"})[0] == 1
+    again = simulate.forced(plant, edge, f"A:{inner}:1", {f"A:{inner}:0": "5xx"})
+    assert abs(1 - again[5] - plant.constants["retry.p_retry_5xx"]) < 0.02
+
+
+def test_artifacts_and_changepoints(spark, net, plant, tmp_path):
+    counts = projection.write_artifacts(spark, plant, net, "twin", f"file://{tmp_path}")
+    assert counts["request-bidirected"] == 0 and counts["request-directed"] > 0 and counts["changepoints"] > 0 and counts["floors"] == 6 and counts["mechanism"] == len(net.edges())
+    assert counts["request-support"] <= counts["session-support"] and counts["alphabet"] > 30 and projection.hidden_groups("metrics") == ["auth", "cache", "net"]
+    changed = spark.read.parquet(f"{tmp_path}/graphs/changepoints")
+    assert {(r.regime, r.at_s) for r in changed.select("regime", "at_s").distinct().collect()} == {("worse", 300.0)}
+
+
 def test_target_scores_perfectly_against_itself(spark, net, plant):
     request = spark.createDataFrame(sorted(T.support(plant.system)), "op_a int, op_b int")
     assert T.support(plant.system) <= T.support(plant.system, "session")
@@ -216,6 +238,21 @@ def test_shown_states_become_sources(net):
     assert all(c in twin.ends(twin.shown[0])[0] or c in twin.between for c in twin.children[twin.shown[0]])
 
 
+def test_every_record_has_its_truth(spark, plant, made):
+    sessions = simulate.arrivals(spark, plant)
+    emitter = simulate.Emitter(plant)
+    rows = emitter.named(simulate.traffic(plant, sessions.limit(40), simulate.states_by_shard(plant, simulate.states(spark, plant))), sessions)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    records = emitter.records(spark, rows)
+    linkage = emitter.oracle_linkage(rows, records)
+    assert linkage.count() == records.count()
+    lost = linkage.filter("session_gid is null").select("log_id").join(records, "log_id").filter("coalesce(path, '') <> '/healthz' AND coalesce(message, '') <> '[Scheduler] tick'")
+    assert lost.count() == 0
+    shown = emitter.with_states(emitter.access(rows.filter("client_op is null")), rows)
+    assert {r.state_health for r in shown.select("state_health").distinct().collect()} <= set(mechanism.VALUES["health"])
+    assert emitter.state_events(simulate.states(spark, plant)).filter("value = previous").count() == 0
+
+
 def test_arrivals_and_states(spark, plant):
     sessions = simulate.arrivals(spark, plant)
     n = sessions.count()
