@@ -85,3 +85,40 @@ def within_tolerance(a: Column, b: Column, absolute: float = 0.01, relative: flo
 def next_on_grid(value: Column, step: int) -> Column:
     """The first multiple of ``step`` at or after an integer."""
     return ((value + step - 1) - F.pmod(value + step - 1, F.lit(step))).cast("bigint")
+
+
+#: The statuses that an outcome (ok, 4xx, 5xx, err, slow) is given, each of five as likely.
+STATUSES = ((200, 200, 200, 201, 204), (400, 400, 404, 403, 409), (500, 500, 503, 502, 500), (0, 0, 0, 0, 0), (200, 200, 200, 201, 204))
+
+
+def status_of(outcome: Column, u: Column) -> Column:
+    """An HTTP status for an outcome, picked by a uniform number."""
+    table = F.array(*(F.array(*map(F.lit, row)) for row in STATUSES))
+    return F.get(F.get(table, outcome), F.floor(u * 5).cast("int"))
+
+
+def within_repertoire(outcome: Column, allowed: list[int]) -> Column:
+    """An outcome that an endpoint doesn't have becomes ok."""
+    return F.when(outcome.isin(*allowed), outcome).otherwise(OK)
+
+
+def client_error_chance(failed: Column, flaky: Column, on_failure: float = 0.98, on_flaky: float = 0.05) -> Column:
+    """The chance that a client reports an error: the answer failed, or the network did."""
+    return 1 - (1 - F.when(failed, on_failure).otherwise(0.0)) * (1 - F.when(flaky, on_flaky).otherwise(0.0))
+
+
+def latency_multiplier(health: Column, pool: Column, cold: Column, degraded: float, tight: float, exhausted: float, miss: float) -> Column:
+    """How much slower an operation's own time is in a state."""
+    return F.when(health == 1, degraded).otherwise(1.0) * F.when(pool == 1, tight).when(pool == 2, exhausted).otherwise(1.0) * F.when(cold, miss).otherwise(1.0)
+
+
+def iso_ms(ms: Column) -> Column:
+    """Epoch milliseconds as ISO 8601 with milliseconds, in UTC."""
+    return F.date_format(F.timestamp_millis(ms.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def profile(ms: Column, hours: list[float], days: list[float]) -> Column:
+    """The multiplier of a rate by hour of the day and day of the week (Monday first)."""
+    at = F.timestamp_millis(ms.cast("bigint"))
+    pick = lambda values, i: F.element_at(F.array(*(F.lit(float(v)) for v in values)), i + 1)
+    return pick(hours, F.hour(at)) * pick(days, F.weekday(at))

@@ -103,6 +103,19 @@ def trajectories(spark: SparkSession, services: DataFrame, first: int, last: int
     return services.groupBy("service").applyInPandas(fold, "tick bigint, variable int, slot int, value int")
 
 
+def state_at(rows: DataFrame, changes: DataFrame, slot: str, tick: str, state: str) -> DataFrame:
+    """``rows`` with the state in force at their tick: the last change of their slot at or before it; rows before any change go.
+
+    Rows and changes are merged in order of the tick and the state is carried on, so no row meets more than its own change.
+    """
+    key, at, own = F.col(slot).alias("__slot"), F.col(tick).alias("__tick"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("__row")
+    left = rows.select(key, at, F.lit(1).alias("__probe"), own, F.lit(None).cast(changes.schema[state].dataType).alias("__state"))
+    right = changes.select(key, at, F.lit(0).alias("__probe"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.col(state).alias("__state"))
+    w = Window.partitionBy("__slot").orderBy("__tick", "__probe").rowsBetween(Window.unboundedPreceding, 0)
+    merged = left.unionByName(right).withColumn("__state", F.last("__state", ignorenulls=True).over(w))
+    return merged.filter("__probe = 1 AND __state IS NOT NULL").select("__row.*", F.col("__state").alias(state))
+
+
 def lag1_chain(draws: DataFrame, key: str, at: str, u: str, rows: tuple[tuple[float, ...], ...], start: int = 0) -> DataFrame:
     """``draws`` with ``value``: for each key, in order of ``at``, a state drawn with ``u`` from the row of the state before it.
 

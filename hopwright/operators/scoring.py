@@ -100,3 +100,20 @@ def mixed_distance(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def total_variation(p: DataFrame, q: DataFrame, key: str, share: str) -> DataFrame:
     a, b = p.select(key, F.col(share).alias("p")), q.select(key, F.col(share).alias("q"))
     return a.join(b, key, "full_outer").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tv"))
+
+
+def most_variation(rows: DataFrame, group: str, shares: str) -> DataFrame:
+    """The greatest total variation between two distributions of a group: the strength of an edge, where a row holds the child's shares
+    under one value of its parent. A group has as many rows as the parent has values."""
+    each = rows.groupBy(group).agg(F.collect_list(shares).alias("__rows"))
+    apart = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / 2
+    return each.select(group, F.array_max(F.flatten(F.transform("__rows", lambda p: F.transform("__rows", lambda q: apart(p, q))))).alias("strength"))
+
+
+def contrasts(rows: DataFrame, group: str, value: str, shares: str) -> DataFrame:
+    """For each value of a source and each place in the end's distribution, how far setting that value moves it from the mean of the
+    others: group, value, place, moved."""
+    each = rows.select(group, value, F.posexplode(shares).alias("place", "p"))
+    w = Window.partitionBy(group, "place")
+    rest = F.try_divide(F.sum("p").over(w) - F.col("p"), (F.count(F.lit(1)).over(w) - 1).cast("double"))
+    return each.select(group, value, "place", F.abs(F.col("p") - F.coalesce(rest, F.lit(0.0))).alias("moved"))

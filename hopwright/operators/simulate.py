@@ -27,8 +27,7 @@ from hopwright.topology import CLIENT, CLIENT_NETS, EDGE, EXTERNAL, TIERS, Syste
 SESSION, HOP, EMIT, SKEW, DEFECT, CLIENTS, ARRIVAL = 3, 5, 6, 7, 8, 9, 2
 SCENARIO, NET, AUTH, LOGIN, MOMENT, GAP = range(6)
 CLASS, OWN, HIT, RHO, RETRY, POD, STATUS, CALL = range(8)
-#: Statuses of an outcome (ok, 4xx, 5xx, err, slow), pauses and the delay until the client notes an answer.
-STATUSES = ((200, 200, 200, 201, 204), (400, 400, 404, 403, 409), (500, 500, 503, 502, 500), (0, 0, 0, 0, 0), (200, 200, 200, 201, 204))
+#: Pauses and the delay until the client notes an answer.
 CLIENT_PAUSE_MS, CLIENT_DELAY_MS, MOST_GAP_S = 1000, 40, 3600.0
 OUTCOMES = ("ok", "4xx", "5xx", "err", "slow", "absent")
 ABSENT = 5
@@ -68,9 +67,7 @@ class Plant:
 
     def profile(self, tick: Column) -> Column:
         """The multiplier of the base rate at a tick: hour of the day times day of the week, both by the window's start."""
-        at = F.timestamp_millis(F.lit(self.epoch_ms) + tick * (self.tick_s * 1000))
-        hours, days = (F.array(*(F.lit(float(x)) for x in self.constants[k])) for k in ("daily_profile", "weekday"))
-        return F.element_at(hours, F.hour(at) + 1) * F.element_at(days, F.weekday(at) + 1)
+        return spans.profile(F.lit(self.epoch_ms) + tick * (self.tick_s * 1000), self.constants["daily_profile"], self.constants["weekday"])
 
 
 def intensity(profile: Column) -> Column:
@@ -266,7 +263,7 @@ class Evaluator:
                 m = np.flatnonzero(made)
                 at = np.rint(begin[v] + passed * 1000).astype(np.int64)[m]
                 length = np.rint(all_s[m] * 1000).astype(np.int64)
-                status = np.array(STATUSES)[outcome[m], (draw(v, STATUS, k)[m] * 5).astype(int)]
+                status = np.array(spans.STATUSES)[outcome[m], (draw(v, STATUS, k)[m] * 5).astype(int)]
                 rows.append(pd.DataFrame({
                     "req_gid": req[m], "gid": requests["gid"].to_numpy()[m], "op": v, "attempt": k, "parent_op": parent[v][m], "service": services, "pod": (draw(v, POD, k)[m] * pods).astype(int), "outcome": outcome[m],
                     "status": status, "start_ms": at, "end_ms": at + length, "duration_ms": length, "own_ms": np.rint(own_s[m] * 1000).astype(np.int64), "is_edge": v == edge, "tick": tick[m],
@@ -362,7 +359,7 @@ class Emitter:
         return ids.uuid_id(F.lit(self.plant.seed), *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
     def iso(self, ms: Column) -> Column:
-        return F.date_format(F.timestamp_millis((ms + self.plant.epoch_ms).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return spans.iso_ms(ms + self.plant.epoch_ms)
 
     def skew(self, service: Column, pod: Column) -> Column:
         return D.normal(self.draw(SKEW, service, pod, 0), self.draw(SKEW, service, pod, 1)) * self.c["clock_skew_ms.server_sd"]

@@ -299,7 +299,7 @@ def depth_distance(spark, sf_dir):
 @query("WITH d AS (SELECT DISTINCT user_id, (epoch_us(ts) // 1000) AS ms FROM events), g AS (SELECT user_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms) AS gap FROM d) SELECT count(*) AS n, round(quantile_cont(gap, 0.5), 6) AS p50, round(quantile_cont(gap, 0.9), 6) AS p90 FROM g WHERE gap > 1500")
 def step_gaps(spark, sf_dir):
     g = series.response_gaps(events(spark, sf_dir), ["user_id"], "ms", 1500)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("gap", 0.5), 6).alias("p50"), F.round(F.percentile("gap", 0.9), 6).alias("p90"))
+    return series.exact_quantiles(g.withColumn("all", F.lit(1)), "all", "gap", (0.5, 0.9)).select("n", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
 
 
 def _scored(spark, sf_dir):

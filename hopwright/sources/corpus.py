@@ -107,13 +107,14 @@ def manifest(spark: SparkSession, corpus: str) -> DataFrame:
 def _digests(batches):
     """SHA-256 of files, a megabyte at a time: a file of any size fits."""
     import hashlib
+    from urllib.parse import quote
 
     from pyarrow import fs
 
     for batch in batches:
         found = []
         for path in batch["path"]:
-            system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            system, at = fs.FileSystem.from_uri(quote(path if "://" in path else "file://" + path.removeprefix("file:"), safe="/:"))
             digest = hashlib.sha256()
             with system.open_input_stream(at, compression=None) as stream:
                 while chunk := stream.read(1 << 20):
