@@ -115,7 +115,7 @@ def boxed(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 #: Rows of a key that one share of it has at least; at most so many keys have more than one share.
-SHARE_ROWS, MOST_SPLIT = 4096, 20_000
+SHARE_ROWS, MOST_SPLIT = 512, 20_000
 
 
 def split_keys(totals: DataFrame, rows: int, share_rows: int = SHARE_ROWS) -> DataFrame:
