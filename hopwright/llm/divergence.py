@@ -41,20 +41,22 @@ def _removed(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def with_counts(df: DataFrame, text: str = "text", prefix: str = _P) -> DataFrame:
-    """``df`` with the words of the text, its base counts and its character classes, under prefixed names."""
+def with_counts(df: DataFrame, text: str = "text", prefix: str = _P, with_words: bool = True) -> DataFrame:
+    """``df`` with the words of the text, its base counts and its character classes, under prefixed names. Without words the classes
+    are counted in a way that doesn't need them."""
     p = prefix
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumns({f"{p}words": words_of(body)})
+    # Most characters are small letters and white space; what is told apart further is a short rest.
     df = df.withColumns(
         {
             f"{p}n_words": F.size(f"{p}words").cast("bigint"),
-            f"{p}word_chars": F.length(_removed(body, " \t\n\x0b\x0c\r")).cast("bigint"),
+            f"{p}word_chars": F.length(F.array_join(f"{p}words", "") if with_words else _removed(body, " \t\n\x0b\x0c\r")).cast("bigint"),
             f"{p}n_chars": F.length(body).cast("bigint"),
-            f"{p}plain": F.regexp_replace(body, r"[\p{L}\p{M}\x20\x09-\x0D]+", ""),
-            f"{p}upper": F.length(F.regexp_replace(body, r"\P{Lu}+", "")).cast("bigint"),
+            f"{p}rest": F.regexp_replace(body, r"[\p{Ll}\p{M}\x20\x09-\x0D]+", ""),
         }
     )
+    df = df.withColumns({f"{p}plain": F.regexp_replace(f"{p}rest", r"[\p{L}\p{M}]+", ""), f"{p}upper": F.length(F.regexp_replace(f"{p}rest", r"\P{Lu}+", "")).cast("bigint")}).drop(f"{p}rest")
     plain = F.col(f"{p}plain")
     n_plain = F.length(plain)
     return df.withColumns(
@@ -81,7 +83,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     """One row per language: ``__r_lang``, the class shares and the common words with their shares, over all documents."""
     p = _P
     tongue = F.coalesce(F.col(lang), F.lit("")).alias("__r_lang")
-    classes = with_counts(docs.select(tongue, F.col(text)), text).groupBy("__r_lang").agg(*(F.sum(f"{p}{c}").alias(c) for c in CLASSES))
+    classes = with_counts(docs.select(tongue, F.col(text)), text, with_words=False).groupBy("__r_lang").agg(*(F.sum(f"{p}{c}").alias(c) for c in CLASSES))
     total = sum((F.col(c) for c in CLASSES), F.lit(0))
     classes = classes.select("__r_lang", F.array(*(F.try_divide(F.col(c).cast("double"), total.cast("double")) for c in CLASSES)).alias("__r_classes"))
     words = docs.select(tongue, F.explode(words_of(F.coalesce(F.col(text), F.lit("")))).alias("word"))
@@ -109,7 +111,7 @@ def judge(docs: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lan
     df = with_counts(docs, text)
     df = df.withColumns({f"{p}hashes": F.transform(f"{p}words", lambda w: F.xxhash64(w)), f"{p}lang": F.coalesce(F.col(lang), F.lit(""))})
     h = F.col(f"{p}hashes")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "")) != "")
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumns({f"{p}lines": lines})
     # Windows of 5 words by hash, then the places of those that occur again.
     window = lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW)))
