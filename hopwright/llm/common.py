@@ -129,7 +129,9 @@ def shared_join(rows: DataFrame, by: Column, spread: Column, lists: DataFrame, s
     """``rows`` left-joined to ``lists`` (key and what it holds, a row a key) on ``by``: a key of ``split`` is dealt over its shares by
     ``spread``, and its list is there once for each. Columns key and share go."""
     key, share, shares = unused(rows, "__by", "__share", "__shares")
-    keyed = rows.withColumn(key, by).join(F.broadcast(split.select(F.col("key").alias(key), F.col("shares").alias(shares))), key, "left")
+    lists = lists.withColumnRenamed("key", "__list_key")
+    split = split.withColumnRenamed("key", "__list_key")
+    keyed = rows.withColumn(key, by).join(F.broadcast(split.select(F.col("__list_key").alias(key), F.col("shares").alias(shares))), key, "left")
     keyed = keyed.withColumn(share, F.pmod(F.xxhash64(spread), F.coalesce(shares, F.lit(1))).cast("int")).drop(shares)
-    each = lists.join(F.broadcast(split), "key", "left").withColumn(share, F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
-    return keyed.join(each.withColumnRenamed("key", key), [key, share], "left").drop(key, share)
+    each = lists.join(F.broadcast(split), "__list_key", "left").withColumn("__list_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return keyed.join(each.withColumnsRenamed({"__list_key": key, "__list_share": share}), [key, share], "left").drop(key, share)

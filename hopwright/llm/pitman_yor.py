@@ -12,7 +12,7 @@ generalized Stirling numbers S, whatever the other cells hold. So t is drawn at
 to c = ``EXACT`` and by saddle point beyond. After ``BURN_IN`` sweeps predictive probabilities are averaged over ``SAMPLES`` more.
 
 All cells of one word lie in one bucket (a hash of the word), at all levels, so a sweep needs no shuffle: between sweeps only the
-tables of each restaurant are summed (4,161 numbers, whatever the corpus). The word's hash, the cell and the sweep seed each draw,
+customers and tables of each restaurant are summed (8,258 numbers, whatever the corpus). The word's hash, the cell and the sweep seed each draw,
 so scores do not depend on how rows are partitioned.
 
 Texts are taken in blocks of up to ``BLOCK_BYTES``. A block's distinct cells are asked for once, packed by bucket; texts become

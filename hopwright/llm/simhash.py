@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import table, unused, written
+from hopwright.llm.common import SHARE_ROWS, shared_join, split_keys, table, unused, written
 from hopwright.llm.components import connected
 
 SHINGLE = 4
@@ -232,15 +232,17 @@ def classes(prints: DataFrame) -> DataFrame:
     return members.join(roots, members["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", share_rows: int = SHARE_ROWS) -> DataFrame:
     """key, fp and component_id: the smallest key that links lead to."""
-    prints = written(fingerprints(docs, key, text), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(key).alias("__least"))
-    named = least.join(classes(prints), "fp")
-    # Summed before and after: a root has as many rows here as distinct fingerprints.
-    smallest = named.groupBy("root").agg(F.min("__least").alias("component_id"))
-    found = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(found, "fp").select(key, "fp", "component_id")
+    prints = written(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"), "fingerprints")
+    n = prints.count()
+    least = written(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "copies")
+    named = written(least.join(classes(prints), "fp").select("fp", "root", "least"), "named")
+    # A component may hold a third of all fingerprints, and a fingerprint a third of all documents: both are dealt into shares.
+    smallest = written(named.groupBy(F.col("root").alias("key")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    found = shared_join(named, F.col("root"), F.col("fp"), smallest.drop("n"), split_keys(smallest, n, share_rows)).select(F.col("fp").alias("key"), "component_id")
+    split = split_keys(least.select(F.col("fp").alias("key"), "n"), n, share_rows)
+    return shared_join(prints, F.col("fp"), F.col("key"), found, split).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

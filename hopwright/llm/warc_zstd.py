@@ -28,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import fresh_path, table, written
+from hopwright.llm.common import SHARE_ROWS, fresh_path, shared_join, split_keys, table, written
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -247,14 +247,15 @@ def _read_archives(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def write_pages(pages: DataFrame, folder: str, key: str = "page_id", min_revisit_bytes: int = 0) -> DataFrame:
+def write_pages(pages: DataFrame, folder: str, key: str = "page_id", min_revisit_bytes: int = 0, share_rows: int = SHARE_ROWS) -> DataFrame:
     """Archives under ``folder``; a table (path, records) of the whole ones."""
     body = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col(key).alias("k"), F.col("url"), F.col("html"), F.sha1(body.cast("binary")).alias("d"), F.octet_length(body).alias("n"))
     # Which rows revisit which is settled on digests alone; pages themselves move once.
-    first = base.filter(F.col("n") >= min_revisit_bytes).groupBy("d").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    slim = first.select("d", "first")
-    joined = base.join(slim, "d", "left")
+    first = base.filter(F.col("n") >= min_revisit_bytes).groupBy(F.col("d").alias("key")).agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first, "first-copies")
+    split = split_keys(first, first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], share_rows)
+    joined = shared_join(base, F.col("d"), F.col("k"), first.select("key", "first"), split)
     typed = joined.withColumn("__again", F.coalesce(~F.col("k").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull())
     rows = typed.select("k", "url", "html", F.when(F.col("__again"), "revisit").otherwise("response").alias("kind"), F.when(F.col("__again"), F.col("first")).alias("first"))
     system, root = _open(folder)

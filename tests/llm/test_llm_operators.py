@@ -107,6 +107,8 @@ def test_simhash_by_brute_force(spark, docs, nothing):
     want = simhash.spanning(len(fps), a, b)
     got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert got == {i: (int(fps[i]), int(want[i])) for i in range(len(texts))}
+    split = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, share_rows=5).collect()}
+    assert split == got
     out = simhash.near_duplicates(docs).collect()
     assert len(out) == len(ROWS) and {r.component_id for r in out if r.doc_id in (2, 3, 5)} == {2}
     assert simhash.near_duplicates(nothing).count() == 0
@@ -332,6 +334,8 @@ def test_warc_round_trip(spark):
         again = h in first and k != first[h] and sum(x == h for _, x in rows) > 1
         want.append(tuple(map(str, (k, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if again else "response", first[h] if again else None))))
     assert got == sorted(want)
+    shared = sorted(tuple(map(str, r)) for r in warc_zstd.read_pages(warc_zstd.write_pages(df, warc_zstd.fresh_path(spark, "warc-shares"), share_rows=1)).collect())
+    assert shared == got
     assert warc_zstd.read_pages(warc_zstd.write_pages(df.limit(0), warc_zstd.fresh_path(spark, "none"))).count() == 0
 
 
