@@ -177,6 +177,13 @@ class Projector:
         return np.abs(p - rest), max(found, key=lambda e: (e.samples, e.error))
 
 
+def merge_step(particles: DataFrame, table: DataFrame, parents: list[str], keep: list[str], prune: float = PRUNE) -> DataFrame:
+    """One step of an enumeration whose assignments are rows: ``particles`` (a column a held variable, ``weight``) meet the conditional
+    distribution ``table`` (the parents, the new variable, ``p``), light ones go, and equal ones over what is still needed are merged."""
+    grown = particles.join(table, parents).withColumn("weight", F.col("weight") * F.col("p")).filter(F.col("weight") > prune)
+    return grown.groupBy(*keep).agg(F.sum("weight").alias("weight"))
+
+
 EDGE_SCHEMA = "src string, dst string, strength double, src_node string, dst_node string, mc_samples int, mc_error double, at long"
 GROUP_SCHEMA = "latent string, token string, delta array<double>, mc_samples int, mc_error double"
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hopwright.functions import draws as D
 from hopwright.functions import spans as S
-from hopwright.operators import mechanism, report, scoring, sequences, simulate
+from hopwright.operators import mechanism, projection, report, scoring, sequences, simulate
 from hopwright.plans.driver_queries import _RUNS, events, table, uniform_sql
 from hopwright.sources import corpus, registry
 from hopwright.storage import shared_folder
@@ -155,6 +155,20 @@ def token_contrasts(spark, sf_dir):
     return scoring.contrasts(_shares(spark, sf_dir), "g", "v", "p").withColumn("moved", F.round("moved", 9))
 
 
+def _conditional(spark, sf_dir, parent: str, child: str) -> DataFrame:
+    n = table(spark, sf_dir, "lineitem").groupBy(parent, child).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(parent))).drop("n")
+
+
+@query("WITH m AS (SELECT l_linestatus AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY ALL), k AS (SELECT l_returnflag AS f, l_linenumber AS c, count(*) AS n FROM lineitem GROUP BY ALL), a AS (SELECT s, f, n / sum(n) OVER (PARTITION BY s) AS p FROM m), b AS (SELECT f, c, n / sum(n) OVER (PARTITION BY f) AS q FROM k) SELECT s AS l_linestatus, c AS l_linenumber, round(sum(p * q), 9) AS weight FROM a JOIN b USING (f) GROUP BY ALL")
+def marginalised_effect(spark, sf_dir):
+    """The distribution of the line number with the status set, the flag between them summed out."""
+    start = table(spark, sf_dir, "lineitem").select("l_linestatus").distinct().withColumn("weight", F.lit(1.0))
+    held = projection.merge_step(start, _conditional(spark, sf_dir, "l_linestatus", "l_returnflag"), ["l_linestatus"], ["l_linestatus", "l_returnflag"])
+    end = projection.merge_step(held, _conditional(spark, sf_dir, "l_returnflag", "l_linenumber"), ["l_returnflag"], ["l_linestatus", "l_linenumber"])
+    return end.withColumn("weight", F.round("weight", 9))
+
+
 @query("WITH w AS (SELECT p_brand AS k, sum(p_retailprice) AS w FROM part GROUP BY 1), e AS (SELECT k, w / (SELECT sum(w) FROM w) * 1000 AS x FROM w), f AS (SELECT k, floor(x) AS a, x - floor(x) AS r, row_number() OVER (ORDER BY x - floor(x) DESC, k) AS i FROM e) SELECT k, (a + (i <= 1000 - (SELECT sum(a) FROM f))::INTEGER)::BIGINT AS n FROM f")
 def largest_remainder(spark, sf_dir):
     """A thousand requests over brands by their prices."""
