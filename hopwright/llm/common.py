@@ -53,7 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -61,7 +62,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Deletes a table of ``written`` that no later step reads."""
     if path := getattr(df, "stored_at", None):
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -73,7 +74,7 @@ def release_shuffles(spark: SparkSession) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this session; results that were not yet read are lost with them."""
     for path in _made.pop(id(spark.sparkContext), []):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def let(value: Column, body) -> Column:

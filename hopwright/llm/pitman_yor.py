@@ -1,7 +1,7 @@
 """A hierarchical Pitman-Yor language model of words in context, trained and applied over whole corpora.
 
 The tokens of a text are drawn from restaurants by the word before them. The restaurants of the last level are the values of
-12 bits of that word's hash; those that agree in 6 of the bits share a parent, all parents share the restaurant without context,
+20 bits of that word's hash; those that agree in 8 of the bits share a parent, all parents share the restaurant without context,
 and its base is uniform over the distinct words of the training texts and one unknown type. Every customer sits at a table and
 every table is a customer of the parent. What is gathered are the counts of (restaurant, word) cells: they grow with the corpus,
 only the number of restaurants is fixed.
@@ -12,7 +12,7 @@ generalized Stirling numbers S, whatever the other cells hold. So t is drawn at
 to c = ``EXACT`` and by saddle point beyond. After ``BURN_IN`` sweeps predictive probabilities are averaged over ``SAMPLES`` more.
 
 All cells of one word lie in one bucket (a hash of the word), at all levels, so a sweep needs no shuffle: between sweeps only the
-customers and tables of each restaurant are summed (8,258 numbers, whatever the corpus). The word's hash, the cell and the sweep seed each draw,
+customers and tables of each restaurant are summed (2.1 million numbers, whatever the corpus). The word's hash, the cell and the sweep seed each draw,
 so scores do not depend on how rows are partitioned.
 
 Texts are taken in blocks of up to ``BLOCK_BYTES``. A block's distinct cells are asked for once, packed by bucket; texts become
@@ -43,11 +43,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwright.llm.common import discard, release_shuffles, table, written
+from hopwright.llm.common import delete, discard, fresh_path, release_shuffles, table, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the context word's hash at each level, from the restaurant without context up; each level's bits begin the next one's.
-BITS = (0, 6, 12)
+BITS = (0, 8, 20)
 #: Discount and strength of each level.
 DISCOUNT = (0.6, 0.8, 0.9)
 STRENGTH = (1.0, 1.0, 1.0)
@@ -55,11 +55,13 @@ BURN_IN, SAMPLES = 3, 3
 #: Customers up to which Stirling numbers are tabled.
 EXACT = 1024
 SEED = 11
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Answers are rounded to this part of a log10.
 STEP = 1 / 2048
 _PIECE = 1 << 15
 _CELLS = 1 << BITS[-1]
+#: Parts in which the restaurants' sums are added up.
+_SLICES = 64
 #: Counts of a bucket that are held before they are summed.
 _PENDING = 1 << 22
 
@@ -196,11 +198,6 @@ class Seating:
     def _sent(self, k: int, tables: np.ndarray) -> np.ndarray:
         return np.bincount(self.above[k - 1], tables, len(self.words[k - 1] if len(self.words) == len(BITS) else ())).astype(np.int64)
 
-    def totals(self) -> list[np.ndarray]:
-        """Customers of the last level's restaurants and the tables of each level's."""
-        sums = lambda k, n: np.bincount(self.contexts[k], n, 1 << BITS[k]).astype(np.int64)
-        return [sums(-1, self.customers[-1]), *(sums(k, self.tables[k]) for k in range(len(BITS)))]
-
     def predictive(self, totals: Totals) -> list[np.ndarray]:
         """The probability of every cell's word in its restaurant, level by level."""
         out, base = [], np.full(len(self.words[0]), 1.0 / (totals.distinct + 1))
@@ -366,22 +363,29 @@ class _Counted:
 
 
 def _kept(words: list[bytes], s: Seating) -> bytes:
-    return _packed(b"\n".join(words), np.bincount(s.words[-1], minlength=len(words)), s.contexts[-1], s.customers[-1], *s.tables)
+    known = int((np.bincount(s.words[-1], s.customers[-1], len(words)) > 0).sum())
+    return _packed(known, b"\n".join(words), np.bincount(s.words[-1], minlength=len(words)), s.customers[-1], *s.contexts, *s.tables)
 
 
 def _restored(raw: bytes) -> tuple[list[bytes], Seating]:
-    blob, per, context, customers, *tables = _unpacked(raw)
-    words = blob.split(b"\n")
-    return words, Seating(hashes_of(words), np.repeat(np.arange(len(per)), per), context.astype(np.int64), customers, [t.astype(np.int64) for t in tables])
+    _, blob, per, customers, *rest = _unpacked(raw)
+    words, levels = blob.split(b"\n"), len(BITS)
+    return words, Seating(hashes_of(words), np.repeat(np.arange(len(per)), per), rest[levels - 1].astype(np.int64), customers, [t.astype(np.int64) for t in rest[levels:]])
+
+
+def _sums(raw: bytes) -> np.ndarray:
+    """Customers of the last level's restaurants, tables of each level's, and the known words of one bucket."""
+    known, _, _, customers, *rest = _unpacked(raw)
+    contexts, tables = rest[: len(BITS)], rest[len(BITS) :]
+    count = lambda k, n: np.bincount(contexts[k].astype(np.int64), n, 1 << BITS[k])
+    return np.concatenate([count(-1, customers), *(count(k, tables[k]) for k in range(len(BITS))), [known]]).astype(np.int64)
 
 
-_STATE = "bucket int, payload binary, totals binary, distinct bigint"
+_STATE = "bucket int, payload binary"
 
 
 def _state_rows(rows: list[tuple[int, list[bytes], Seating]]) -> pa.RecordBatch:
-    known = [int((np.bincount(s.words[-1], s.customers[-1], len(w)) > 0).sum()) for _, w, s in rows]
-    columns = [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_kept(w, s) for _, w, s in rows], pa.binary()), pa.array([_packed(*s.totals()) for _, _, s in rows], pa.binary()), pa.array(known, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "payload", "totals", "distinct"])
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int32()), pa.array([_kept(w, s) for _, w, s in rows], pa.binary())], names=["bucket", "payload"])
 
 
 def _first_seating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,24 +413,40 @@ def _swept(totals, number: int, seed: int):
     return run
 
 
-def _task_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of a task, one row a restaurant."""
-    sums, distinct = None, 0
-    for batch in batches:
-        for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.concatenate([x.astype(np.int64) for x in _unpacked(raw)])
-            sums, distinct = own if sums is None else sums + own, distinct + n
+def _sliced(sums: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if sums is not None:
-        sums = np.append(sums, distinct)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "n"])
+        parts = np.array_split(sums, _SLICES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([_packed(p) for p in parts], pa.binary())], names=["slice", "payload"])
+
+
+def _task_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's buckets, in slices."""
+    sums = None
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            own = _sums(raw)
+            sums = own if sums is None else sums + own
+    yield from _sliced(sums)
+
+
+def _slice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of slices to one row a slice."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = _unpacked(raw)[0].astype(np.int64)
+            sums[k] = sums[k] + own if k in sums else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["slice", "payload"])
 
 
 def totals_of(state: DataFrame) -> Totals:
-    """Sums over all buckets. A row a restaurant is collected, whatever the corpus."""
-    found = state.select("totals", "distinct").mapInArrow(_task_totals, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    """Sums over all buckets: added up within tasks, then slice by slice. What is collected is a number a restaurant and level, whatever
+    the corpus."""
+    kind = "slice int, payload binary"
+    found = state.select("payload").mapInArrow(_task_sums, kind).repartition(_SLICES, "slice").mapInArrow(_slice_sums, kind).toArrow()
     sizes = [_CELLS, *(1 << b for b in BITS)]
-    all_ = np.zeros(sum(sizes) + 1, np.int64)
-    all_[found["at"].to_numpy()] = found["n"].to_numpy()
+    by = dict(zip(found["slice"].to_pylist(), found["payload"].to_pylist()))
+    all_ = np.concatenate([_unpacked(by[k])[0].astype(np.int64) for k in range(_SLICES)]) if by else np.zeros(sum(sizes) + 1, np.int64)
     parts = np.split(all_, np.cumsum(sizes))
     customers, tables = [parts[0]], list(parts[1:-1])
     for k in range(len(BITS) - 1, 0, -1):
@@ -497,23 +517,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # A bucket holds about as many cells as a block.
     buckets = max(8, -(-size // block_bytes))
-    # Blocks are named once, when they are written; all later passes read those names.
-    rows = written(source.mapInArrow(_blocks(arrow, buckets, block_bytes), f"block bigint, bucket int, seq bigint, key {kind}, held_out boolean, payload binary"), "blocks")
-    questions = rows.filter("bucket is not null")
+    # Blocks are named once, when they are written; all later passes read those names. Questions and texts lie apart.
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "blocks")
+    schema = f"block bigint, bucket int, seq bigint, key {kind}, held_out boolean, payload binary"
+    made = source.mapInArrow(_blocks(arrow, buckets, block_bytes), schema).withColumn("asked", F.col("bucket").isNotNull().cast("int"))
+    made.write.option("compression", "zstd").partitionBy("asked").parquet(path)
+    rows = spark.read.schema(f"{schema}, asked int").parquet(path)
+    questions = rows.filter("asked = 1").select("block", "bucket", "payload")
     by_bucket = lambda df, *then: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *then)
     state = written(by_bucket(questions.select("bucket", "payload")).mapInArrow(_first_seating, _STATE), "seating")
     totals = totals_of(state)
     for number in range(burn_in):
         shared = context.broadcast(totals)
-        before, state = state, written(state.select("bucket", "payload").mapInArrow(_swept(shared, number, seed), _STATE), "seating")
+        before, state = state, written(state.mapInArrow(_swept(shared, number, seed), _STATE), "seating")
         shared.destroy()
         discard(before)
         totals = totals_of(state)
-    release_shuffles(docs.sparkSession)
+    release_shuffles(spark)
     tokens = int(totals.customers[-1].sum())
-    asked = questions.select("block", "bucket", "payload").unionByName(state.select(F.lit(None).cast("bigint").alias("block"), "bucket", "payload"))
-    answers = by_bucket(asked, F.col("block").asc_nulls_first()).mapInArrow(_answers(context.broadcast(totals), burn_in, samples, seed), "block bigint, bucket int, payload binary")
-    texts = rows.filter("bucket is null").select("block", "bucket", "seq", "key", "held_out", "payload")
+    asked = questions.unionByName(state.select(F.lit(None).cast("bigint").alias("block"), "bucket", "payload"))
+    shared = context.broadcast(totals)
+    answers = written(by_bucket(asked, F.col("block").asc_nulls_first()).mapInArrow(_answers(shared, burn_in, samples, seed), "block bigint, bucket int, payload binary"), "answers")
+    shared.destroy()
+    discard(state)
+    delete(spark, f"{path}/asked=1")
+    release_shuffles(spark)
+    texts = rows.filter("asked = 0").select("block", "bucket", "seq", "key", "held_out", "payload")
     both = texts.unionByName(answers, allowMissingColumns=True).repartition(buckets, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last(), "seq")
     body = _scored(tokens, totals.distinct, key, arrow)
     return both.select("block", "bucket", "key", "held_out", "payload").mapInArrow(body, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -436,7 +436,7 @@ def test_pitman_yor_by_single_customers(spark):
     texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(25)], k=40)) for _ in range(40)] + ["w0 w1 w2 w3 w4 w5"] * 10
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in pitman_yor.score(df, samples=40).collect()}
-    value = {w: int(pitman_yor.hashes_of([w.encode()])[0]) & 4095 for w in ["", *vocabulary]}
+    value = {w: int(pitman_yor.hashes_of([w.encode()])[0]) & (pitman_yor._CELLS - 1) for w in ["", *vocabulary]}
     pairs = lambda t: [(value[a], b) for a, b in zip(["", *t.split()], [*t.split(), ""])]
     train = [x for k, t in enumerate(texts) if not got[k].held_out for x in pairs(t)]
     p = by_customers(train, {x for t in texts for x in pairs(t)}, 60, 20, 1)
@@ -468,18 +468,21 @@ def test_pitman_yor_tells_twins(spark):
 
 def test_predictions_of_a_restaurant_sum_to_one():
     rng = np.random.default_rng(8)
+    few, last = 300, 1 << pitman_yor.BITS[-1]
     words = [b"w%d" % i for i in range(50)]
-    word, context = np.divmod(np.arange(50 * 4096), 4096)
-    counts = np.where(rng.random(50 * 4096) < 0.02, rng.integers(1, 60, 50 * 4096), 0)
+    word, context = np.divmod(np.arange(50 * few), few)
+    counts = np.where(rng.random(50 * few) < 0.1, rng.integers(1, 60, 50 * few), 0)
     s = pitman_yor.Seating(pitman_yor.hashes_of(words), word, context, counts)
     for number in range(2):
-        own = s.totals()
-        t = pitman_yor.Totals([np.array([own[2].sum()]), np.bincount(np.arange(4096) % 64, own[3], 64), own[0]], own[1:], 50)
-        assert all((a.tables[k] <= a.customers[k]).all() and ((a.tables[k] > 0) == (a.customers[k] > 0)).all() for a in [s] for k in range(3))
-        p = s.predictive(t)[-1].reshape(50, 4096).sum(axis=0)
+        own = np.split(pitman_yor._sums(pitman_yor._kept(words, s)), np.cumsum([last, *(1 << b for b in pitman_yor.BITS)]))
+        middle = 1 << pitman_yor.BITS[1]
+        t = pitman_yor.Totals([np.array([own[2].sum()]), np.bincount(np.arange(last) % middle, own[3], middle), own[0]], own[1:4], 50)
+        assert own[4][0] == (np.bincount(word, counts) > 0).sum()
+        assert all((s.tables[k] <= s.customers[k]).all() and ((s.tables[k] > 0) == (s.customers[k] > 0)).all() for k in range(3))
+        p = s.predictive(t)[-1].reshape(50, few).sum(axis=0)
         # What is left over is the unknown type's.
         rest = 1 / 51
-        for k, at in ((0, np.zeros(4096, int)), (1, np.arange(4096) % 64), (2, np.arange(4096))):
+        for k, at in ((0, np.zeros(few, int)), (1, np.arange(few) % middle), (2, np.arange(few))):
             rest = (1 + pitman_yor.DISCOUNT[k] * t.tables[k][at]) / (1 + t.customers[k][at]) * rest
         assert np.allclose(p + rest, 1)
         s.sweep(t, number, 1)
