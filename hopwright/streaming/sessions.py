@@ -20,9 +20,10 @@ def stream_sessions(events: DataFrame, keys: list[str], at: str = "ts", gap: str
     A session ends after a pause longer than the gap, as in the batch operator, whose runs these equal; state holds the open
     sessions of each key alone.
     """
-    # A window of just the gap would close at a pause of the gap itself; a millisecond more keeps it open.
-    session = F.session_window(F.col(at), f"{gap} 1 millisecond")
-    grouped = events.withWatermark(at, margin).groupBy(*keys, session.alias("session"))
+    # A window takes in what comes just at its end, so a pause of the gap itself doesn't close it. The watermark, in whole milliseconds,
+    # gives out a session when it reaches that end: a millisecond more leaves it open for a record that is late by the whole margin.
+    session = F.session_window(F.col(at), gap)
+    grouped = events.withWatermark(at, f"{margin} 1 millisecond").groupBy(*keys, session.alias("session"))
     return grouped.agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("n")).drop("session")
 
 

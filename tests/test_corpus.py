@@ -61,6 +61,23 @@ def test_stream_sessions_equal_batch_runs(spark, tmp_path):
     assert got == sorted((r.u, r.a, r.b, r.n) for r in batch.collect())
 
 
+def test_stream_sessions_end_just_beyond_the_gap(spark, tmp_path):
+    t0, gap = dt.datetime(2026, 1, 5, 9), dt.timedelta(minutes=30)
+    at = lambda micros=0: t0 + gap + dt.timedelta(microseconds=micros)
+    # User 9 sets the watermark; the second file's record of user 4 comes just at the gap, late by the whole margin.
+    first = spark.createDataFrame([(1, t0), (1, at()), (2, t0), (2, at(1000)), (3, t0), (3, at(1)), (4, t0), (9, at(5_000_000))], "u int, ts timestamp")
+    first.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
+    run = lambda: sessions.run_to_table(sessions.stream_sessions(stream, ["u"]), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    run()
+    spark.createDataFrame([(4, at())], first.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    sessions.close_source(first, str(tmp_path / "in"))
+    run()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {u: sorted(r.n for r in got if r.u == u) for u in (1, 2, 3, 4)} == {1: [2], 2: [1, 1], 3: [1, 1], 4: [2]}
+
+
 def test_the_end_of_a_source_closes_its_sessions(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 5, 9)
     df = spark.createDataFrame([(1, t0), (2, t0 + dt.timedelta(minutes=40))], "u int, ts timestamp")
