@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hopwright.llm import decontaminate, divergence, hash_tree, line_dedup, mixing, pitman_yor, simhash, site_template, token_prefix, warc_zstd
+from hopwright.llm.common import ascii_lower, words_of
 from hopwright.llm.components import connected
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -215,6 +217,25 @@ def decontaminate_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def test_decontamination_words_are_the_contracts_and_fast(spark):
+    contract = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    points = spark.createDataFrame([(f"{chr(c)}x{chr(c)}",) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF], "text string")
+    by_contract = words_of(ascii_lower(F.col("text")), contract)
+    assert points.filter(decontaminate.words("text") != by_contract).count() == 0
+    texts = spark.range(400).select(F.repeat(F.lit("Über die 12 Wörter, and the others; "), 1000).alias("text")).cache()
+
+    def seconds(words):
+        times = []
+        for _ in range(4):
+            start = time.perf_counter()
+            texts.agg(F.sum(F.size(words))).collect()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert 2 * seconds(decontaminate.words("text")) < seconds(by_contract)
+    texts.unpersist()
+
+
 def test_decontamination_with_a_full_bitmap(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
